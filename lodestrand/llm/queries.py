@@ -29,5 +29,29 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container_fill(p8_pack(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.chars import same_looks
+
+    return same_looks(table(spark, sf_dir, "documents"))
+
+
+def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.chars import canonical_documents
+
+    return canonical_documents(table(spark, sf_dir, "documents"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.overlap import split_overlaps
+
+    return split_overlaps(table(spark, sf_dir, "documents")).select("doc_id_a", "doc_id_b")
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.overlap import overlap_counts, split_overlaps
+
+    return overlap_counts(split_overlaps(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p8_pack, p8_fill)}
+    return {f.__name__: f for f in (p3_found, p3_counts, p7_ids, p8_pack, p8_fill, p9_found, p9_forms)}
