@@ -53,5 +53,23 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_counts(split_overlaps(table(spark, sf_dir, "documents")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.families import repository_families
+
+    return repository_families(table(spark, sf_dir, "documents"))
+
+
+def p5_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.families import assign_splits
+
+    return assign_splits(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_targets"))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.families import split_shares
+
+    return split_shares(p5_assign(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_counts, p7_ids, p8_pack, p8_fill, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_assign, p5_shares, p7_ids, p8_pack, p8_fill, p9_found, p9_forms)}
