@@ -53,6 +53,25 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_counts(split_overlaps(table(spark, sf_dir, "documents")))
 
 
+def p4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.leakage import leaks
+
+    return leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "fim_tasks"), table(spark, sf_dir, "completion_tasks"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.leakage import leaked
+
+    return leaked(p4_leaks(spark, sf_dir))
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.leakage import without_leaks
+    from lodestrand.session import cut
+
+    return without_leaks(spark, table(spark, sf_dir, "documents"), cut(p4_leaks(spark, sf_dir)))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrand.llm.families import repository_families
 
@@ -72,4 +91,4 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_assign, p5_shares, p7_ids, p8_pack, p8_fill, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_leaks, p4_clean, p5_found, p5_assign, p5_shares, p7_ids, p8_pack, p8_fill, p9_found, p9_forms)}
