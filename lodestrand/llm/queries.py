@@ -11,6 +11,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.syntax import broken
+
+    return broken(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p6_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.syntax import broken
+
+    return broken(table(spark, sf_dir, "documents"))
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.syntax import fault_rates
+
+    return fault_rates(table(spark, sf_dir, "documents"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrand.llm.tokens import token_ids
 
@@ -91,4 +109,4 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_leaks, p4_clean, p5_found, p5_assign, p5_shares, p7_ids, p8_pack, p8_fill, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_leaks, p4_clean, p5_found, p5_assign, p5_shares, p6_found, p6_faults, p6_rates, p7_ids, p8_pack, p8_fill, p9_found, p9_forms)}
