@@ -59,6 +59,18 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_documents(table(spark, sf_dir, "documents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.handwritten import not_by_hand
+
+    return not_by_hand(table(spark, sf_dir, "documents"))
+
+
+def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.handwritten import beliefs
+
+    return beliefs(table(spark, sf_dir, "documents"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrand.llm.overlap import split_overlaps
 
@@ -109,4 +121,4 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_leaks, p4_clean, p5_found, p5_assign, p5_shares, p6_found, p6_faults, p6_rates, p7_ids, p8_pack, p8_fill, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p2_found, p2_labels, p3_found, p3_counts, p4_found, p4_leaks, p4_clean, p5_found, p5_assign, p5_shares, p6_found, p6_faults, p6_rates, p7_ids, p8_pack, p8_fill, p9_found, p9_forms)}
