@@ -21,9 +21,11 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestrand.llm.families import key
 from lodestrand.session import cut
@@ -170,32 +172,48 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], names=["doc_id", "tree", "path", "e1", "e2", "e3", "e4"])
 
 
-def _logsum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    total = F.exp(terms[0] - top)
-    for t in terms[1:]:
-        total = total + F.exp(t - top)
-    return top + F.log(total)
+def _logsum(x: np.ndarray) -> np.ndarray:
+    top = x.max(0)
+    return top + np.log(np.exp(x - top).sum(0))
 
 
-def _stage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Columns as a projection of their own: as plain nested expressions they'd grow fivefold with every message."""
-    return df.withColumns(columns)
+def upward(b: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The message of children with beliefs b (labels x rows) to their parents, relative to the first label."""
+    m = np.stack([_logsum(b + table[p][:, None]) for p in range(5)])
+    return m - m[0]
+
+
+def downward(b: np.ndarray, a: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Beliefs b of children raised by what their parents, with beliefs a, know without them."""
+    rest = a - upward(b, table)
+    down = np.stack([_logsum(rest + table[:, c][:, None]) for c in range(5)])
+    return b + down - down[0]
+
+
+def _with_messages(df: DataFrame, inputs: list[str], outputs: list[str], make) -> DataFrame:
+    """Five columns more, made from five or ten columns of doubles in Arrow batches. As column expressions the
+    messages would grow fivefold at every step, and the plan with them."""
+    keep = [c for c in df.columns if c not in outputs]
+    schema = StructType([df.schema[c] for c in keep] + [StructField(c, DoubleType()) for c in outputs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in inputs])
+                y = make(x)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v) for v in y)], names=[*keep, *outputs])
+
+    return df.mapInArrow(run, schema)
 
 
 def with_upward(df: DataFrame, b: str, m: str, table: list[list[float]]) -> DataFrame:
-    """Adds m0..m4: the message of a child with beliefs b0..b4 to its parent, relative to the first label."""
-    df = _stage(df, {f"raw{p}": _logsum([F.col(f"{b}{c}") + table[p][c] for c in range(5)]) for p in range(5)})
-    return _stage(df, {f"{m}{p}": F.col(f"raw{p}") - F.col("raw0") for p in range(5)}).drop(*(f"raw{p}" for p in range(5)))
+    t = np.array(table)
+    return _with_messages(df, [f"{b}{k}" for k in range(5)], [f"{m}{k}" for k in range(5)], lambda x: upward(x, t))
 
 
 def with_downward(df: DataFrame, b: str, a: str, table: list[list[float]]) -> DataFrame:
-    """Beliefs b of a child raised by what its parent, with beliefs a, knows without the child."""
-    df = with_upward(df, b, "own", table)
-    df = _stage(df, {f"rest{k}": F.col(f"{a}{k}") - F.col(f"own{k}") for k in range(5)})
-    df = _stage(df, {f"down{c}": _logsum([F.col(f"rest{p}") + table[p][c] for p in range(5)]) for c in range(5)})
-    df = _stage(df, {f"{b}{k}": F.col(f"{b}{k}") + F.col(f"down{k}") - F.col("down0") for k in range(5)})
-    return df.drop(*(f"{x}{k}" for x in ("own", "rest", "down") for k in range(5)))
+    t = np.array(table)
+    return _with_messages(df, [f"{b}{k}" for k in range(5)] + [f"{a}{k}" for k in range(5)], [f"{b}{k}" for k in range(5)], lambda x: downward(x[:5], x[5:], t))
 
 
 def _name_score(name: Column) -> list[Column]:
@@ -221,7 +239,7 @@ def beliefs(documents: DataFrame) -> DataFrame:
     files = cut(rows.mapInArrow(_scores, "doc_id bigint, tree string, path string, e1 double, e2 double, e3 double, e4 double"))
     parent = lambda p: F.regexp_replace(F.coalesce(p, F.lit("")), r"/?[^/]*$", "")
     files = files.withColumn("dir", parent(F.col("path")))
-    files = _stage(files, {"b0": F.lit(0.0), **{f"b{k}": F.when(F.col(f"e{k}") > 0, MARKED * F.col(f"e{k}")).otherwise(F.col(f"e{k}") + UNMARKED[k]) for k in range(1, 5)}})
+    files = files.withColumns({"b0": F.lit(0.0), **{f"b{k}": F.when(F.col(f"e{k}") > 0, MARKED * F.col(f"e{k}")).otherwise(F.col(f"e{k}") + UNMARKED[k]) for k in range(1, 5)}})
     sums = [F.sum(f"m{k}").alias(f"m{k}") for k in range(5)]
     received = cut(with_upward(files, "b", "m", FILE_LOG).groupBy("tree", "dir").agg(*sums))
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
@@ -235,7 +253,7 @@ def beliefs(documents: DataFrame) -> DataFrame:
         here = received.where(depth == at)
         if extra is not None:
             here = here.unionByName(extra).groupBy("tree", "dir").agg(*sums)
-        first = [F.when(F.col("dir") == "", ROOT[k]).otherwise(0.0) for k in range(5)]
+        first = [F.when(F.col("dir") == "", F.lit(ROOT[k])).otherwise(F.lit(0.0)) for k in range(5)]
         levels[at] = cut(here.select("tree", "dir", *((first[k] + own[k] + F.col(f"m{k}")).alias(f"b{k}") for k in range(5))))
         if at:
             extra = with_upward(levels[at], "b", "m", DIRECTORY_LOG).select("tree", parent(F.col("dir")).alias("dir"), *five("m"))
