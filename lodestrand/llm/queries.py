@@ -59,6 +59,26 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_documents(table(spark, sf_dir, "documents"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.credentials import places
+
+    return places(spark, table(spark, sf_dir, "documents"))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.credentials import redacted
+
+    return redacted(spark, table(spark, sf_dir, "documents"))
+
+
+def p1_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrand.llm.credentials import places, status_changes
+    from lodestrand.session import cut
+
+    documents = table(spark, sf_dir, "documents")
+    return status_changes(cut(places(spark, documents)), documents, table(spark, sf_dir, "file_records"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrand.llm.handwritten import not_by_hand
 
@@ -121,4 +141,4 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_labels, p3_found, p3_counts, p4_found, p4_leaks, p4_clean, p5_found, p5_assign, p5_shares, p6_found, p6_faults, p6_rates, p7_ids, p8_pack, p8_fill, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p1_status, p2_found, p2_labels, p3_found, p3_counts, p4_found, p4_leaks, p4_clean, p5_found, p5_assign, p5_shares, p6_found, p6_faults, p6_rates, p7_ids, p8_pack, p8_fill, p9_found, p9_forms)}
