@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import lines, reasons
+from lodestrand.functions.text import let, lines, reasons
 
 #: Fixed values of the ingestion policy.
 REJECTED_PARTS = ("node_modules", "dist", "build", ".next", "coverage", ".cache", ".git", "vendor")
@@ -51,16 +51,15 @@ def language_reason(path: Column, text: Column) -> Column:
 
 def generated_reasons(path: Column, text: Column) -> Column:
     head = F.lower(F.substring(text, 1, 4096))
-    ls = lines(text)
     header = F.lit(False)
     for m in GENERATED_MARKERS:
         header = header | F.contains(head, F.lit(m))
     name = name_of(path)
-    return reasons(
+    return let(lines(text), lambda ls: reasons(
         (header, "generated-header"), (F.array_max(F.transform(ls, lambda x: F.length(x))) > 2000, "very-long-line"),
         (name.endswith(".generated.ts") | name.endswith(".gen.ts") | name.endswith(".d.ts"), "generated-filename"),
         ((F.size(ls) > 20) & (F.size(F.array_distinct(ls)) / F.size(ls) < 0.25), "high-repetition"),
-    )
+    ))
 
 
 def harness_reasons(path: Column, text: Column) -> Column:

@@ -12,6 +12,12 @@ IDENTIFIER = r"[A-Za-z_$][\p{L}\p{N}_$]*"
 COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once a row. Written plainly, an expression that a lambda refers to is computed
+    anew for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lines(text: Column) -> Column:
     """The lines of a text; a line end at the very end adds no empty line. An empty text is one empty line."""
     return F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
@@ -68,9 +74,12 @@ def owner_of(record: Column, world_size: int) -> Column:
 
 def quality_metrics(text: Column) -> Column:
     """Eight measures as one struct. Sums are integers until the one division, so results don't depend on order."""
-    ls = lines(text)
-    sizes = F.transform(ls, lambda x: F.length(x))
     ids = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
+    return let(F.struct(lines(text).alias("ls"), ids.alias("ids")), lambda v: _measures(text, v["ls"], v["ids"]))
+
+
+def _measures(text: Column, ls: Column, ids: Column) -> Column:
+    sizes = F.transform(ls, lambda x: F.length(x))
     chars = F.greatest(F.length(text), F.lit(1))
     total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
     return F.struct(
@@ -111,16 +120,20 @@ def shingles(text: Column, width: int = 5, fast: bool = False) -> Column:
     fast: 64-bit xxhash instead of 16 hex digits of sha256; same sets up to the names of their members."""
     t = F.regexp_extract_all(normalized(text), F.lit(r"[A-Za-z_$][\p{L}\p{N}_$]*|[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"), F.lit(0))
     name = (lambda x: F.xxhash64(x)) if fast else (lambda x: F.substring(F.sha2(x, 256), 1, 16))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - width + 1))
-    return F.array_distinct(F.transform(starts, lambda i: name(F.array_join(F.slice(t, i, width), "\u001f"))))
+    all_starts = lambda v: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(v) - width + 1))
+    return let(t, lambda v: F.array_distinct(F.transform(all_starts(v), lambda i: name(F.array_join(F.slice(v, i, width), "\u001f")))))
 
 
 def repetition_rate(text: Column, width: int = 3) -> Column:
     """The share of repeated word windows; 0 if there is none."""
     words = F.filter(F.split(F.regexp_replace(text, f"{SPACE}+", " "), " "), lambda w: w != "")
-    n = F.size(words) - width + 1
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(words, i, width), "\u001f"))
-    return F.when(n < 1, F.lit(0.0)).otherwise(F.lit(1.0) - F.size(F.array_distinct(windows)) / F.greatest(n, F.lit(1)))
+
+    def rate(v: Column) -> Column:
+        n = F.size(v) - width + 1
+        windows = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(v, i, width), "\u001f"))
+        return F.when(n < 1, F.lit(0.0)).otherwise(F.lit(1.0) - F.size(F.array_distinct(windows)) / F.greatest(n, F.lit(1)))
+
+    return let(words, rate)
 
 
 def token_accuracy(expected: Column, actual: Column) -> Column:

@@ -9,12 +9,13 @@ from lodestrand.functions.text import shingles
 from lodestrand.session import cut
 
 
-def mark_duplicates(records: DataFrame, key: str = "normalized_sha256", order: str = "record_id", included: Column | None = None) -> DataFrame:
+def mark_duplicates(records: DataFrame, key: str | list[str] = "normalized_sha256", order: str = "record_id", included: Column | None = None) -> DataFrame:
     """Adds is_duplicate: of the included rows of a key all but the one of the smallest `order`. One pre-aggregated
     shuffle on the key and a join, so a key may hold any share of the rows (a window would sort it in one task)."""
     ok = F.lit(True) if included is None else included
-    first = records.where(ok).groupBy(key).agg(F.min(order).alias("first_of_key"))
-    return records.join(first, key, "left").withColumn("is_duplicate", ok & F.coalesce(F.col(order) > F.col("first_of_key"), F.lit(False))).drop("first_of_key")
+    keys = [key] if isinstance(key, str) else key
+    first = records.where(ok).groupBy(*keys).agg(F.min(order).alias("first_of_key"))
+    return records.join(first, keys, "left").withColumn("is_duplicate", ok & F.coalesce(F.col(order) > F.col("first_of_key"), F.lit(False))).drop("first_of_key")
 
 
 def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:

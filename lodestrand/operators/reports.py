@@ -88,20 +88,32 @@ def rates(results: DataFrame, flags: list[str], by: str | None = None) -> DataFr
 
 
 def tree_digest(files: DataFrame) -> DataFrame:
-    """Per repository a digest over its sorted (path, sha256) entries, with counts. Entries are 100-odd bytes, so the
-    entries are first digested by directory; only the directories' digests meet in one row."""
+    """Per repository a digest over its (path, sha256) entries in order of the path's hash, with counts. Entries are first
+    digested in 4,096 buckets by that hash, so no task holds more of a repository than a bucket."""
     entry = F.concat_ws("\u0000", "relative_path", "content_sha256")
-    by_dir = files.groupBy("repository_id", F.regexp_replace("relative_path", r"/?[^/]*$", "").alias("dir")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("d"), F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
-    return by_dir.groupBy("repository_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\u0000", "dir", "d"))), "\n"), 256).alias("tree_sha256"), F.sum("n").alias("file_count"), F.sum("b").alias("total_bytes"))
+    bucket = F.substring(F.sha2("relative_path", 256), 1, 3)
+    small = files.groupBy("repository_id", bucket.alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("d"), F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
+    return small.groupBy("repository_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\u0000", "bucket", "d"))), "\n"), 256).alias("tree_sha256"), F.sum("n").alias("file_count"), F.sum("b").alias("total_bytes"))
 
 
-def repository_text(files: DataFrame) -> DataFrame:
-    """repository_id, text: every file behind its path, sorted, in one marked text. Paths that climb out are an error."""
+def repository_parts(files: DataFrame) -> DataFrame:
+    """repository_id, relative_path, part: each file between its marks. In order of the path the parts, between <repo> and
+    </repo>, are the repository's text; kept apart they have no bound to mind. Paths that climb out are an error."""
     path = F.regexp_replace(F.regexp_replace("relative_path", r"\\", "/"), "^/+", "")
     checked = F.when(F.array_contains(F.split(path, "/"), ".."), F.raise_error(F.lit("repository path traversal")).cast("string")).otherwise(path)
-    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(checked, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
-    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, "\n", "&#10;"), "\r", "&#13;"), "\t", "&#9;")
-    quoted = F.when(~F.contains(escaped, F.lit('"')), F.concat(F.lit('"'), escaped, F.lit('"'))).when(~F.contains(escaped, F.lit("'")), F.concat(F.lit("'"), escaped, F.lit("'"))).otherwise(F.concat(F.lit('"'), F.regexp_replace(escaped, '"', "&quot;"), F.lit('"')))
-    part = F.concat(F.lit("<file path="), quoted, F.lit(">\n"), F.coalesce("text", F.lit("")), F.lit("\n</file>"))
-    rows = files.groupBy("repository_id").agg(F.array_sort(F.collect_list(F.struct(F.col("relative_path").alias("p"), F.coalesce("text", F.lit("")).alias("t"), part.alias("x")))).alias("parts"))
-    return rows.select("repository_id", F.concat(F.lit("<repo>\n"), F.array_join(F.transform("parts", lambda x: x.x), "\n"), F.lit("\n</repo>")).alias("text"))
+    escaped = checked
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(entity))
+    double, single = F.contains(escaped, F.lit('"')), F.contains(escaped, F.lit("'"))
+    quoted = F.when(~double, F.concat(F.lit('"'), escaped, F.lit('"'))).when(~single, F.concat(F.lit("'"), escaped, F.lit("'"))).otherwise(F.concat(F.lit('"'), F.replace(escaped, F.lit('"'), F.lit("&quot;")), F.lit('"')))
+    return files.select("repository_id", "relative_path", F.concat(F.lit("<file path="), quoted, F.lit(">\n"), F.coalesce("text", F.lit("")), F.lit("\n</file>")).alias("part"))
+
+
+def repository_text(files: DataFrame, max_chars: int = 64_000_000) -> DataFrame:
+    """repository_id, text: the parts of each repository as one text. A repository beyond max_chars is an error; use the
+    parts for such ones."""
+    parts = repository_parts(files)
+    size = parts.groupBy("repository_id").agg(F.sum(F.length("part")).alias("n"))
+    ok = parts.join(size, "repository_id").withColumn("part", F.when(F.col("n") > max_chars, F.raise_error(F.lit("the repository is too large for one text")).cast("string")).otherwise(F.col("part")))
+    rows = ok.groupBy("repository_id").agg(F.array_sort(F.collect_list(F.struct("relative_path", "part"))).alias("parts"))
+    return rows.select("repository_id", F.concat(F.lit("<repo>\n"), F.array_join(F.transform("parts", lambda x: x.part), "\n"), F.lit("\n</repo>")).alias("text"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import owner_of, uses_infilling
+from lodestrand.functions.text import let, owner_of, uses_infilling
 
 #: The marks of infilling and of repository texts.
 FIM = ("<fim_prefix>", "<fim_suffix>", "<fim_middle>")
