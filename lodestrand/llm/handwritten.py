@@ -234,7 +234,7 @@ def _named(columns: list[Column], prefix: str) -> list[Column]:
 
 def beliefs(documents: DataFrame) -> DataFrame:
     """doc_id, relative_path, label, margin: the likeliest label, and by how much it beats handwritten (log odds)."""
-    tree = F.coalesce(key("repository_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit("")))
+    tree = F.coalesce(key("repository_id"), F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = documents.select("doc_id", tree.alias("tree"), F.trim("relative_path").alias("path"), "text")
     files = cut(rows.mapInArrow(_scores, "doc_id bigint, tree string, path string, e1 double, e2 double, e3 double, e4 double"))
     parent = lambda p: F.regexp_replace(F.coalesce(p, F.lit("")), r"/?[^/]*$", "")
