@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import let, owner_of, uses_infilling
+from lodestrand.functions.text import owner_of, uses_infilling
+from lodestrand.operators.nextfit import next_fit_plan
 
 #: The marks of infilling and of repository texts.
 FIM = ("<fim_prefix>", "<fim_suffix>", "<fim_middle>")
@@ -100,28 +101,11 @@ def packed_blocks(records: DataFrame, ids: str, order: list[str], context: int,
 
 def next_fit(records: DataFrame, ids: str, context: int, eos: int) -> DataFrame:
     """repository_id, bin, record_ids, token_ids: per repository by path, a text that doesn't fit opens a new bin; longer
-    texts are cut into whole bins. Order-dependent, so one task walks a repository, holding (id, length) only;
-    the tokens are joined to the plan afterwards."""
+    texts are cut into whole bins. Only lengths are walked (nextfit.py); the tokens are joined to the plan afterwards."""
     rows = records.select("record_id", "repository_id", "relative_path", F.concat(F.col(ids), F.array(F.lit(eos))).alias("ids")).withColumn("n", F.size("ids"))
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["relative_path", "record_id"])
-        out, fill, bin_no, at = [], 0, 0, 0
-        for rid, n in zip(part["record_id"], part["n"]):
-            start = 0
-            if fill and fill + n > context:
-                bin_no, fill = bin_no + 1, 0
-            while n - start > context:
-                out.append((bin_no, at, rid, start, start + context))
-                bin_no, start, at = bin_no + 1, start + context, at + 1
-            out.append((bin_no, at, rid, start, n))
-            fill, at = fill + n - start, at + 1
-        frame = pd.DataFrame(out, columns=["bin", "at", "record_id", "from", "to"])
-        frame["repository_id"] = part["repository_id"].iloc[0]
-        return frame
-
-    plan = rows.select("record_id", "repository_id", "relative_path", "n").groupBy("repository_id").applyInPandas(walk, "bin int, at int, record_id string, from int, to int, repository_id string")
+    plan = next_fit_plan(rows, context)
     parts = plan.join(rows.select("record_id", "ids"), "record_id").select("repository_id", "bin", "at", "record_id", F.slice("ids", F.col("from") + 1, F.col("to") - F.col("from")).alias("part"))
+    # a bin holds at most `context` tokens
     bins = parts.groupBy("repository_id", "bin").agg(F.array_sort(F.collect_list(F.struct("at", "record_id", "part"))).alias("p"))
     return bins.select("repository_id", "bin", F.transform("p", lambda x: x.record_id).alias("record_ids"), F.flatten(F.transform("p", lambda x: x.part)).alias("token_ids"))
 

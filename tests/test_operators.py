@@ -110,6 +110,32 @@ def test_packing_keeps_all_tokens(spark):
         assert blocks.agg(F.sum("n_tokens")).first()[0] >= total - 3
 
 
+def test_next_fit_equals_a_walk(spark):
+    from lodestrand.operators.nextfit import next_fit_plan
+
+    r = random.Random(8)
+    rows = [(f"repo{0 if i % 3 else i % 7}", f"p{r.random()}", f"r{i:03}", r.choice([1, 2, 3, 5, 8, 10, 11, 20, 25])) for i in range(200)]
+    df = spark.createDataFrame(rows, "repository_id string, relative_path string, record_id string, n int")
+    want = set()
+    for repo in {x[0] for x in rows}:
+        fill = bin_no = 0
+        for _, _, rid, n in sorted(x for x in rows if x[0] == repo):
+            if fill and fill + n > 10:
+                bin_no, fill = bin_no + 1, 0
+            start = 0
+            while n - start > 10:
+                want.add((repo, bin_no, rid, start, start + 10))
+                bin_no, start = bin_no + 1, start + 10
+            want.add((repo, bin_no, rid, start, n))
+            fill += n - start
+    for ranges in (1, 3, 17):
+        got = next_fit_plan(df, 10, ranges).collect()
+        assert {(x.repository_id, x.bin, x.record_id, x["from"], x.to) for x in got} == want and len(got) == len(want)
+        for repo in {x[0] for x in rows}:
+            ats = [x["at"] for x in sorted((g for g in got if g.repository_id == repo), key=lambda g: (g.bin, g["at"]))]
+            assert ats == list(range(len(ats)))
+
+
 def test_infilling_round_trip(spark):
     df = spark.createDataFrame([(str(i), f"const x{i} = {i};\nlet y = '<eos>';") for i in range(40)] + [("n", None)], "id string, text string")
     made = sequences.infilling_samples(df, "id", "text", fraction=0.5)
