@@ -142,4 +142,25 @@ def oracle_sql() -> dict[str, str]:
         "repository_pack": f"""SELECT lower(trim(repository_id)) AS repository_id, relative_path, sha256('<file path="' || replace(replace(replace(regexp_replace(relative_path, '^/+', ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '">' || chr(10) || text || chr(10) || '</file>') AS part_sha256 FROM {documents} WHERE repository_id IS NOT NULL""",
         "evaluation_rates": """WITH t AS (SELECT id, string_split_regex(middle, '\\s+') AS w, string_split_regex(coalesce(prefix, ''), '\\s+') AS g FROM fim_tasks WHERE middle IS NOT NULL)
           SELECT count(*) AS n, avg((w = g)::INT::DOUBLE) AS exact_match, round(avg(CASE WHEN len(w) = 0 THEN 1.0 ELSE len(list_filter(range(1, len(w) + 1), lambda i: i <= len(g) AND w[i] = g[i]))::DOUBLE / len(w) END), 9) AS token_accuracy FROM t""",
+        "family_split": f"""WITH RECURSIVE rows AS (SELECT {KEY.format('repository_id')} AS r, {KEY.format('dedup_cluster')} AS c FROM {RECORDS} WHERE included AND repository_id IS NOT NULL AND dedup_cluster IS NOT NULL),
+          ties AS (SELECT DISTINCT r, c FROM rows), edges AS (SELECT DISTINCT a.r AS u, b.r AS v FROM ties a JOIN ties b ON a.c = b.c), reach AS (SELECT u, v FROM edges UNION SELECT reach.u, edges.v FROM reach JOIN edges ON reach.v = edges.u),
+          fam AS (SELECT u AS repository_id, min(v) AS family FROM reach GROUP BY u), w AS (SELECT family, count(*) AS weight FROM rows JOIN fam ON rows.r = fam.repository_id GROUP BY family),
+          k AS (SELECT *, row_number() OVER (ORDER BY weight DESC, family) AS rank, count(*) OVER () AS n, {split_of("'repository-family:' || family")} AS hashed FROM w),
+          v AS (SELECT *, CASE WHEN NOT bool_or(hashed = 'validation') OVER () AND rank = n THEN 'validation' ELSE hashed END AS s FROM k),
+          t AS (SELECT *, bool_or(s = 'test') OVER () AS has_t, max(CASE WHEN rank = n - 1 THEN s END) OVER () AS before_last FROM v)
+          SELECT repository_id, family, weight::BIGINT AS weight, CASE WHEN n <= 3 THEN (CASE rank WHEN 1 THEN 'train' WHEN 2 THEN 'validation' ELSE 'test' END) WHEN NOT has_t AND rank = CASE WHEN before_last = 'train' THEN n - 1 ELSE n END THEN 'test' ELSE s END AS split FROM fam JOIN t USING (family)""",
+        "approval_violations": f"""SELECT violation, count(*) AS records FROM (SELECT unnest(list_filter([
+            CASE WHEN NOT coalesce(regexp_matches(source_id, '^[a-z0-9][a-z0-9._-]{{0,127}}$'), false) THEN 'source-id' END, CASE WHEN NOT coalesce({SAFE} = source_uri, false) THEN 'unsafe-uri' END,
+            CASE WHEN NOT coalesce(regexp_matches(source_uri, '^[A-Za-z][A-Za-z0-9+.-]*:'), false) THEN 'no-scheme' END, CASE WHEN NOT coalesce(commit_sha = 'fixture' OR regexp_matches(commit_sha, '^[0-9a-f]{{40}}$'), false) THEN 'commit' END,
+            CASE WHEN NOT coalesce(license_spdx IN ('MIT', 'Apache-2.0', 'BSD-2-Clause', 'BSD-3-Clause', 'ISC', '0BSD', 'CC0-1.0', 'Unlicense'), false) THEN 'license' END,
+            CASE WHEN NOT coalesce(status IN ('approved', 'review', 'rejected', 'removed'), false) THEN 'status' END,
+            CASE WHEN status = 'approved' AND (coalesce(trim(approved_by), '') = '' OR coalesce(trim(approved_at), '') = '' OR coalesce(len(scope), 0) = 0) THEN 'incomplete-approval' END,
+            CASE WHEN len(list_filter(scope, lambda s: s <> 'typescript-source' AND (NOT regexp_matches(s, '^(?:include|exclude):[^\\x00\\\\]+$') OR regexp_matches(s, '^\\w+:/') OR regexp_matches(s, '(?:^\\w+:|/)\\.\\.(?:/|$)')))) > 0 THEN 'scope' END,
+            CASE WHEN NOT coalesce(approval_id = sha256(source_id || chr(0) || source_uri || chr(0) || commit_sha || chr(0) || license_spdx || chr(0) || status || chr(0) || approved_at), false) THEN 'approval-id' END,
+            CASE WHEN supersedes = approval_id THEN 'supersedes-itself' END], lambda x: x IS NOT NULL)) AS violation FROM approvals) GROUP BY 1""",
+        "receipt_violations": """SELECT violation, count(*) AS records FROM (SELECT unnest(list_filter([
+            CASE WHEN coalesce(schema_version <> 1, true) THEN 'schema-version' END, CASE WHEN NOT coalesce(regexp_matches(source_id, '^[a-z0-9][a-z0-9._-]{0,127}$'), false) THEN 'source-id' END, CASE WHEN NOT coalesce(regexp_matches(commit_sha, '^[0-9a-f]{40}$'), false) THEN 'commit' END,
+            CASE WHEN NOT coalesce(regexp_matches(tree_sha256, '^[0-9a-f]{64}$'), false) THEN 'tree' END, CASE WHEN coalesce(file_count < 0, true) THEN 'file-count' END, CASE WHEN coalesce(total_bytes < 0, true) THEN 'total-bytes' END,
+            CASE WHEN NOT coalesce(regexp_matches(retrieved_at, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(?:\\.\\d{1,6})?(?:Z|\\+00:00)$'), false) THEN 'retrieved-at' END, CASE WHEN coalesce(cardinality(license_sha256), 0) = 0 THEN 'no-license' END,
+            CASE WHEN len(list_filter(map_values(license_sha256), lambda v: NOT regexp_matches(v, '^[0-9a-f]{64}$'))) > 0 THEN 'license-digest' END], lambda x: x IS NOT NULL)) AS violation FROM receipts) GROUP BY 1""",
     }
