@@ -147,6 +147,22 @@ def test_overlaps(spark):
     assert {(x.split, x.documents, x.pairs) for x in overlap.overlap_counts(found).collect()} == {("test", 1, 2), ("validation", 1, 2)}
 
 
+def test_overlaps_with_scattered_edits(spark):
+    """Words replaced at random all over a text; no stretch of it need stay whole."""
+    r = random.Random(7)
+    rows, want = [], set()
+    for k in range(60):
+        n = r.choice([30, 50, 100, 200, 400])
+        a = [f"word{r.randint(0, 99_999)}" for _ in range(n)]
+        b = list(a)
+        for i in r.sample(range(n), n * r.choice([10, 15, 20]) // 100):
+            b[i] = f"other{r.randint(0, 99_999)}"
+        rows += [(2 * k, " ".join(a), "train"), (2 * k + 1, " ".join(b), "test")]
+        want.add((2 * k, 2 * k + 1))
+    d = documents(spark, *({"doc_id": i, "text": t, "split": s, "relative_path": "a.txt"} for i, t, s in rows))
+    assert {(x.doc_id_a, x.doc_id_b) for x in overlap.split_overlaps(d).collect()} == want
+
+
 def test_common_words_equal_plain_table():
     import numpy as np
 
