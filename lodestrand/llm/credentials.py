@@ -82,7 +82,7 @@ def lex(text: str, base: int = 0) -> list[Token]:
                 out.append(Token(inner, at + 1, at + 1 + len(inner), "pem"))
                 continue
             parts = list(re.finditer(r"\S+", inner))
-            for k in parts[:40]:
+            for k in parts:
                 url = "://" in k[0]
                 out.append(Token(k[0], at + 1 + k.start(), at + 1 + k.end(), "u" if url else "q" if len(parts) == 1 else "w"))
         else:

@@ -297,6 +297,13 @@ def test_credentials(spark):
     assert syntax.fault_of(rows[1].text, "a.ts") is None
 
 
+def test_credentials_late_in_a_literal():
+    for quote in "\"'`":
+        text = f"const help = {quote}{'some words of help ' * 30}password: ghp_aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5 and more{quote};\n"
+        spans = credentials.credentials(text, credentials.trained())
+        assert "ghp_" in text and "ghp_" not in credentials.redact(text, spans) and credentials.starts(text, spans) == [1]
+
+
 def test_field_on_held_out_sentences():
     field = credentials.trained()
     held_out = credentials.training_lines(600, seed=1234)
