@@ -1,7 +1,8 @@
 """A recogniser for TypeScript and JavaScript over token classes.
 
 A text is lexed to one character per token; brackets are matched with a stack, and each bracketed group's
-content becomes a string in which the groups inside it are single characters (p: round, a: square, b: curly).
+content becomes a string in which the groups inside it are single characters (p: round, a: square, b: curly,
+τ: an interpolation of a template).
 What a content may be depends only on that string and on where its group stands, so verdicts are remembered:
 source code repeats its shapes, and nearly all groups are answered by one look-up.
 """
@@ -35,12 +36,14 @@ TOKEN = re.compile(
     r"""(?:[^\W\d]|\$)(?:\w|\$)*"""
     r"""|//[^\n]*|/\*[\s\S]*?\*/|\n\s*"""
     r"""|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'"""
-    r"""|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{(?:[^{}]|\{[^{}]*\})*\}|`[^`]*`)*\})*`"""
+    r"""|`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(?:`|\$\{)"""
     r"""|(?:(?<=[(=,:\[!&|?{};>\n])|(?<=[(=,:\[!&|?{};>+] )|(?<=return ))/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*"""
     r"""|\.?\d(?:[\w.]|(?<=[eE])[+-](?=\d))*"""
     r"""|=>|\.\.\.|\?\.(?!\d)|(?:\*\*|&&|\|\||\?\?)=|===|!==|\*\*|&&|\|\||\?\?|<<=?|<=|[=!+*/%&|^-]=|\+\+|--"""
     r"""|\#(?:[^\W\d]|\$)(?:\w|\$)*|\x01|[^\s]"""
 )
+#: What follows an interpolation of a template, to the template's end or the next interpolation.
+TAIL = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(`|\$\{)")
 NUMBER = re.compile(r"0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|\d[\d_]*n|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?")
 CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$", re.M)
 INVISIBLE = "﻿​‌‍‎‏⁠­"
@@ -100,9 +103,41 @@ class Node:
         self.text, self.kids = "", []
 
 
-BRACKET = re.compile(r"[()\[\]{}]")
-CLOSE = {")": "(", "]": "[", "}": "{"}
-LETTER = {"(": "p", "[": "a", "{": "b"}
+def lexed(text: str, classes: Classes) -> str:
+    """The classes of a text's tokens. Interpolations of templates stand between \x04 and \x05, lexed like other code."""
+    if "${" not in text:
+        return "".join(map(classes.__getitem__, TOKEN.findall(text)))
+    out: list[str] = []
+    stack: list[int] = []  # of each open interpolation the curly brackets open in it
+    i, on = 0, True
+    while on:
+        on = False
+        for m in TOKEN.finditer(text, i):
+            t = m[0]
+            if t[0] == "`" and t[-1] == "{":
+                stack.append(0)
+                out.append("t\x04")
+                continue
+            if stack and t == "{":
+                stack[-1] += 1
+            elif stack and t == "}":
+                if not stack[-1]:
+                    tail = TAIL.match(text, m.end())
+                    if not tail:
+                        return "\x00"
+                    out.append("\x05\x04" if tail[1] == "${" else "\x05")
+                    if tail[1] == "`":
+                        stack.pop()
+                    i, on = tail.end(), True
+                    break
+                stack[-1] -= 1
+            out.append(classes[t])
+    return "".join(out)
+
+
+BRACKET = re.compile(r"[()\[\]{}\x04\x05]")
+CLOSE = {")": "(", "]": "[", "}": "{", "\x05": "\x04"}
+LETTER = {"(": "p", "[": "a", "{": "b", "\x04": "τ"}
 
 
 def grouped(classes: str) -> Node:
@@ -566,7 +601,7 @@ class Parser:
             elif c == "a":
                 self.group("a", "index")
             elif c == "t":
-                self.i += 1
+                self.template("expr")
             elif c == "±":
                 if self.broken():
                     return
@@ -587,7 +622,9 @@ class Parser:
 
     def primary(self) -> None:
         c = self.s[self.i]
-        if c in "instrj":
+        if c == "t":
+            self.template("expr")
+        elif c in "insrj":
             self.i += 1
         elif c == "p":
             self.group("p", "paren")
@@ -615,6 +652,11 @@ class Parser:
         else:
             raise Bad("unexpected token")
 
+    def template(self, kind: str) -> None:
+        self.i += 1
+        while self.at("τ"):
+            self.group("τ", kind)
+
     def new(self) -> None:
         if self.at("W"):
             self.i += 1
@@ -713,7 +755,9 @@ class Parser:
             self.names()
         elif c in IDENT:
             self.names()
-        elif c in "snt":
+        elif c == "t":
+            self.template("type")
+        elif c in "sn":
             self.i += 1
         elif c == "+" and d == "n":
             self.i += 2

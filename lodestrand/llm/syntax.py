@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.families import key
-from lodestrand.llm.grammar import CONFLICT, TOKEN, Bad, Classes, Recogniser, grouped, without_elements
+from lodestrand.llm.grammar import CONFLICT, Bad, Classes, Recogniser, grouped, lexed, without_elements
 
 LANGUAGES = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "json": "json", "py": "python"}
 FAULTS = "doc_id bigint, language string, fault string"
@@ -43,7 +43,7 @@ class Scripts:
             text = "//" + text
         if language != "typescript":
             text = without_elements(text)
-        classes = "".join(map(self.classes.__getitem__, TOKEN.findall(text)))
+        classes = lexed(text, self.classes)
         if "\x00" in classes:
             return "unterminated literal or unknown character"
         try:

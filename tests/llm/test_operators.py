@@ -225,6 +225,15 @@ def test_syntax():
     assert syntax.fault_of("(" * 200_000, "a.ts") and syntax.fault_of(None, "a.ts") is None and syntax.fault_of("(", None) is None
 
 
+def test_interpolations_are_judged():
+    good = ["f`a ${x} ${y.z}`", "`${{ a: { b: { c: {} } } }.a}`", "`${a ? `b ${c({ d: '}' })}` : `${`${e}`}`}`", "`${/[}`]/.test(a)} \\${ $ ${1 + 2}`", "`${(a, b)}\n${async () => { await c }}`", "`$${a} {}} ${b /* } */}`"]
+    bad = ["`a ${f(b} c`", "`${a +} x`", "`${g([1, 2} y`", "`${a b c}`", "`${}`", "`${a", "`${a} b", "`${`${a b}`}`", "f`${a b}`"]
+    for path in ("a.ts", "a.tsx", "a.js"):
+        assert [t for t in good if syntax.fault_of(f"const q = {t};\n", path)] == []
+        assert [t for t in bad if not syntax.fault_of(f"const q = {t};\n", path)] == []
+    assert syntax.fault_of("type A<T extends string> = `on${Capitalize<T>}${keyof B & string}`;", "a.ts") is None and syntax.fault_of("type A = `on${B C}`;", "a.ts")
+
+
 def test_python_and_json_agree_with_exact_parsers(spark):
     import ast
     import json
