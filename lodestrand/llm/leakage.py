@@ -2,14 +2,15 @@
 
 Method: a generalised suffix automaton over the words of all normalised task passages is broadcast (the
 tasks are a table of fixed size; its bytes are checked before), and each document's words stream through
-it, which gives the longest match that ends at every word. Matches of at least min_run words that can't be
-grown further are the document's runs. For each passage, runs that keep the passage's order and lie in one
+it, which gives the longest match that ends at every word. A passage's matches of at least min_run words that
+can't be grown further in that passage are its runs, also where a match with another passage goes on. For each passage, runs that keep the passage's order and lie in one
 stretch of the document are chained; the document leaks the passage if the chain covers `coverage` of its
 words. Inserted comments and renamed identifiers only break runs, they don't end a chain.
 
 Words are taken after the one character form and without escapes, comment marks or quotes, in which a
-passage may be hidden. Documents whose words hold too few word triples of any passage skip the automaton:
-a chain is made of runs of at least min_run = 3 words, so this loses none.
+passage may be hidden. Documents whose words hold too few word triples of any passage skip the automaton,
+and passages of which too few words lie in triples of the document are not looked for in it: a chain is made of
+runs of at least min_run = 3 words, so this loses none.
 
 Defined results: null passages and passages under min_words words are no cases; null and empty texts leak
 nothing; several passages of one task count once in `leaked`; repeated rows repeat in `leaks`, not in
@@ -102,39 +103,74 @@ class Automaton:
         return self
 
     def runs(self, words: list[int], min_run: int) -> list[tuple[int, int, int]]:
-        """(end, length, state) of the matches that the next word doesn't lengthen."""
+        """(end, length, state) of the matches that the next word doesn't lengthen at some place of the state."""
         following, link, length = self.next, self.link, self.length
         q, n, out = 0, 0, []
         for i, w in enumerate(words):
             t = following[q].get(w)
+            if n >= min_run:
+                self._lost(out, i, n, q, w, min_run)
             if t is not None:
                 q, n = t, n + 1
                 continue
-            if n >= min_run:
-                out.append((i, n, q))
             while q and t is None:
                 q = link[q]
                 t = following[q].get(w)
             n = length[q] + 1 if t is not None else 0
             q = t or 0
         if n >= min_run:
-            out.append((len(words), n, q))
+            self._lost(out, len(words), n, q, None, min_run)
         return out
 
-
-def chains(runs: list[tuple[int, int, int]], spots: list[list[tuple[int, int]]], sizes: list[int], stretch: float) -> dict[int, tuple[int, int, int]]:
-    """The best chain of each passage: words covered, first and last word in the document."""
+    def _lost(self, out: list[tuple[int, int, int]], end: int, n: int, q: int, w: int | None, min_run: int) -> None:
+        """Adds the match that ends before `end` and its suffixes, each if w doesn't go on at some place that the longer ones don't have."""
+        lost = 0
+        while n >= min_run:
+            t = self.next[q].get(w)
+            mine = len(self.places[q]) - (len(self.places[t]) if t is not None else 0)
+            if mine > lost:
+                out.append((end, n, q))
+                lost = mine
+            q = self.link[q]
+            n = self.length[q]
+
+
+def most_in(parts: list[tuple[int, int, int]], room: int) -> int:
+    """No stretch of `room` words has more words in the runs, which are in order; each word counts once."""
+    most, reach, total, i = 0, 0, 0, 0
+    past: list[tuple[int, int]] = []  # of each run the words before it that count, and how far earlier runs reach into it
+    for d, _, n in parts:
+        past.append((total, max(0, reach - d)))
+        total += max(0, d + n - max(reach, d))
+        reach = max(reach, d + n)
+        while d - parts[i][0] > room:
+            i += 1
+        most = max(most, total - past[i][0] + past[i][1])
+    return most
+
+
+def chains(runs: list[tuple[int, int, int]], spots: list[list[tuple[int, int]]], sequences: list[list[int]], words: list[int], stretch: float, coverage: float, wanted: set[int]) -> dict[int, tuple[int, int, int]]:
+    """The best chain of each wanted passage that can reach the coverage: words covered, first and last word in the document."""
     by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    sizes = [len(s) for s in sequences]
     for end, n, q in runs:
+        before, behind = words[end - n - 1] if end > n else 0, words[end] if end < len(words) else 0
         for number, at in spots[q]:
-            by[number].append((end - n, at + 1 - n, n))
+            if number not in wanted:
+                continue
+            # what the passage itself carries on, to either side, is a part of another run
+            s = sequences[number]
+            if (at + 1 == len(s) or s[at + 1] != behind) and (at < n or s[at - n] != before):
+                by[number].append((end - n, at + 1 - n, n))
     out = {}
     for number, parts in by.items():
         size = sizes[number]
-        if sum(n for _, _, n in parts) * 4 < size:
+        if sum(n for _, _, n in parts) < coverage * size:
             continue
         parts.sort()
         room = int(stretch * size) + 40
+        if most_in(parts, room) < coverage * size:
+            continue
         best: list[tuple[int, int]] = []
         top = (0, 0, 0)
         for j, (d, s, n) in enumerate(parts):
@@ -161,11 +197,16 @@ class Scanner:
         self.sizes = [len(w) for _, _, w in passages]
         self.ids: dict[str, int] = {}
         sequences = [[self.ids.setdefault(x, len(self.ids) + 1) for x in w] for _, _, w in passages]
+        self.sequences = sequences
         self.automaton = Automaton.of(sequences)
         self.coverage, self.min_run, self.stretch = coverage, min_run, stretch
         base = len(self.ids) + 2
         self.base = base
         self.triples = np.unique(np.concatenate([self._triples(np.array(s, np.int64)) for s in sequences] or [np.zeros(0, np.int64)]))
+        # of each word of each passage the triple that begins there; the last two begin none
+        none = np.full(2, len(self.triples))
+        self.begins = np.concatenate([np.concatenate([np.searchsorted(self.triples, self._triples(np.array(s, np.int64))), none])[: len(s)] for s in sequences] or [none])
+        self.offsets = np.cumsum([0, *self.sizes[:-1]])
         # what the smallest passage needs; a run of n words has n - 2 triples, so runs of 3 need a third of the words
         self.least = max(1, int(min((coverage * n / 3 for n in self.sizes), default=1)))
 
@@ -181,9 +222,21 @@ class Scanner:
         if len(t) < self.least:
             return []
         at = np.searchsorted(self.triples, t)
-        if (self.triples[np.minimum(at, len(self.triples) - 1)] == t).sum() < self.least:
+        same = self.triples[np.minimum(at, len(self.triples) - 1)] == t
+        if same.sum() < self.least:
+            return []
+        # a chain covers only words of the passage that lie in a triple of the document
+        present = np.zeros(len(self.triples) + 1, np.bool_)
+        present[at[same]] = True
+        begun = present[self.begins]
+        covered = begun.copy()
+        covered[1:] |= begun[:-1]
+        covered[2:] |= begun[:-2]
+        wanted = np.flatnonzero(np.add.reduceat(covered, self.offsets, dtype=np.int64) >= self.coverage * np.array(self.sizes))
+        if not len(wanted):
             return []
-        found = chains(self.automaton.runs(a.tolist(), self.min_run), self.automaton.places, self.sizes, self.stretch)
+        known = a.tolist()
+        found = chains(self.automaton.runs(known, self.min_run), self.automaton.places, self.sequences, known, self.stretch, self.coverage, set(wanted.tolist()))
         return [(*self.names[k], c, self.sizes[k], f, e) for k, (c, f, e) in sorted(found.items()) if c >= self.coverage * self.sizes[k]]
 
 

@@ -190,6 +190,31 @@ def test_leaks(spark):
     assert leakage.leaks(spark, d.select("doc_id", F.col("text")), fim, spark.createDataFrame([], COMPLETION)).count() == found.count()
 
 
+def test_passages_inside_other_passages():
+    q = code(21, 12).split("\n")
+    inside = {"prefix": q[:6], "middle": q[3:9], "suffix": q[6:]}
+    scanner = leakage.Scanner([("t0", "prompt", words.quoted_words("\n".join(q)))] + [("t1", k, words.quoted_words("\n".join(v))) for k, v in inside.items()], 0.42, 3, 2.5)
+    text = code(5) + "\n".join(q) + code(6)
+    assert {(k, c == n) for _, k, c, n, _, _ in scanner.leaks(text)} == {("prompt", True), ("prefix", True), ("middle", True), ("suffix", True)}
+
+
+def test_runs_are_the_maximal_ones_of_each_passage():
+    r = random.Random(10)
+    for _ in range(50):
+        seqs = [[r.randint(1, 3) for _ in range(r.randint(3, 9))] for _ in range(4)]
+        a = leakage.Automaton.of(seqs)
+        doc = [r.randint(1, 4) for _ in range(40)]
+        got = {(end, n, k, at) for end, n, q in a.runs(doc, 3) for k, at in a.places[q]}
+        for k, s in enumerate(seqs):
+            for i in range(len(doc)):
+                for j in range(len(s)):
+                    n = 0
+                    while i + n < len(doc) and j + n < len(s) and doc[i + n] == s[j + n]:
+                        n += 1
+                    if n >= 3 and not (i and j and doc[i - 1] == s[j - 1]):
+                        assert (i + n, n, k, j + n - 1) in got
+
+
 def test_automaton_finds_longest_runs():
     r = random.Random(9)
     seqs = [[r.randint(1, 3) for _ in range(8)] for _ in range(4)]
