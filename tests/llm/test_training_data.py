@@ -353,3 +353,22 @@ def test_pieces_count_once():
 
 def test_recogniser_survives_depth():
     assert grammar.Recogniser(True).fault(grammar.grouped("(" * 5000 + "i" + ")" * 5000)) is None
+
+
+def test_similarity_hash_keeps_scattered_edits():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    common = r.integers(0, 1 << 32, 60).astype(np.uint32)
+    lost = joined = 0
+    for n in (40, 120, 500, 2500):
+        for _ in range(40):
+            text = np.where(r.random(n) < 0.5, r.choice(common, n), r.integers(0, 1 << 32, n).astype(np.uint32))
+            edited = text.copy()
+            edited[r.choice(n, n // 5, replace=False)] = r.integers(0, 1 << 32, n // 5)
+            other = np.where(r.random(n) < 0.5, r.choice(common, n), r.integers(0, 1 << 32, n).astype(np.uint32))
+            (bits, keys), (b, k), (c, _) = overlap.fingerprint(text), overlap.fingerprint(edited), overlap.fingerprint(other)
+            near = int(np.bitwise_count((bits ^ b).view(np.uint64)).sum()) <= overlap.RADIUS
+            lost += not (near and (keys == k).any())
+            joined += int(np.bitwise_count((bits ^ c).view(np.uint64)).sum()) <= overlap.RADIUS
+    assert lost <= 2 and joined <= 16
