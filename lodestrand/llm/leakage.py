@@ -3,22 +3,27 @@
 Method: a generalised suffix automaton over the words of all normalised task passages is broadcast (the
 tasks are a table of fixed size; its bytes are checked before), and each document's words stream through
 it, which gives the longest match that ends at every word. A passage's matches of at least min_run words that
-can't be grown further in that passage are its runs, also where a match with another passage goes on. For each passage, runs that keep the passage's order and lie in one
-stretch of the document are chained; the document leaks the passage if the chain covers `coverage` of its
-words. Inserted comments and renamed identifiers only break runs, they don't end a chain.
+can't be grown further in that passage are its runs, also where a match with another passage goes on. A document
+leaks a passage wherever, in one stretch of the document, a common subsequence of the passage and of the words that
+lie in its runs covers `coverage` of the passage (all of a passage under `whole` words, of which less says nothing).
+Inserted comments and renamed identifiers only break runs, they don't end a stretch, and no number of runs does.
 
 Words are taken after the one character form and without escapes, comment marks or quotes, in which a
 passage may be hidden. Documents whose words hold too few word triples of any passage skip the automaton,
-and passages of which too few words lie in triples of the document are not looked for in it: a chain is made of
+and passages of which too few words lie in triples of the document are not looked for in it: what is covered lies in
 runs of at least min_run = 3 words, so this loses none.
 
-Defined results: null passages and passages under min_words words are no cases; null and empty texts leak
-nothing; several passages of one task count once in `leaked`; repeated rows repeat in `leaks`, not in
-`leaked`; other columns pass unread.
+Defined results: null passages and passages under min_run words are no cases; null and empty texts leak
+nothing; several passages of one task, and several stretches of one passage, count once in `leaked`; repeated
+rows repeat in `leaks`, not in `leaked`; other columns pass unread.
 """
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -135,71 +140,78 @@ class Automaton:
             n = self.length[q]
 
 
-def most_in(parts: list[tuple[int, int, int]], room: int) -> int:
-    """No stretch of `room` words has more words in the runs, which are in order; each word counts once."""
-    most, reach, total, i = 0, 0, 0, 0
-    past: list[tuple[int, int]] = []  # of each run the words before it that count, and how far earlier runs reach into it
-    for d, _, n in parts:
-        past.append((total, max(0, reach - d)))
-        total += max(0, d + n - max(reach, d))
-        reach = max(reach, d + n)
-        while d - parts[i][0] > room:
-            i += 1
-        most = max(most, total - past[i][0] + past[i][1])
-    return most
-
-
-def chains(runs: list[tuple[int, int, int]], spots: list[list[tuple[int, int]]], sequences: list[list[int]], words: list[int], stretch: float, coverage: float, wanted: set[int]) -> dict[int, tuple[int, int, int]]:
-    """The best chain of each wanted passage that can reach the coverage: words covered, first and last word in the document."""
-    by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    sizes = [len(s) for s in sequences]
-    for end, n, q in runs:
-        before, behind = words[end - n - 1] if end > n else 0, words[end] if end < len(words) else 0
-        for number, at in spots[q]:
-            if number not in wanted:
+def covered_words(words: list[int], passage: dict[int, int], size: int) -> list[int]:
+    """The length of the longest common subsequence of each beginning of `words` with a passage, bit-parallel over the
+    passage: `passage` has the places of each of its words as bits."""
+    full = (1 << size) - 1
+    v, out = full, []
+    for w in words:
+        u = v & passage[w]
+        if u:
+            v = ((v + u) | (v - u)) & full
+        out.append(size - v.bit_count())
+    return out
+
+
+def stretches(spots: list[int], words: list[int], passage: list[int], need: int, room: int) -> list[tuple[int, int, int]]:
+    """(words covered, first, end) of the stretches of at most `room` words whose words at `spots` (ascending) cover at least
+    `need` of the passage in order; they don't overlap. A window that covers too little rules out the next ones
+    up to the one with as many further words as it lacks, so few are looked at."""
+    size, out, i, m = len(passage), [], 0, len(spots)
+    ahead: dict[int, int] = defaultdict(int)
+    back: dict[int, int] = defaultdict(int)
+    for k, w in enumerate(passage):
+        ahead[w] |= 1 << k
+        back[w] |= 1 << (size - 1 - k)
+    while i + need <= m:
+        j = bisect_left(spots, spots[i] + room)
+        lacks = need - (j - i)
+        if lacks <= 0:
+            covers = covered_words([words[x] for x in spots[i:j]], ahead, size)
+            if covers[-1] >= need:
+                end = bisect_left(covers, covers[-1])
+                # the same from its end backwards: the latest word from which as many are covered
+                begin = bisect_left(covered_words([words[x] for x in reversed(spots[i : i + end + 1])], back, size), covers[-1])
+                out.append((covers[-1], spots[i + end - begin], spots[i + end] + 1))
+                i += end + 1
                 continue
-            # what the passage itself carries on, to either side, is a part of another run
-            s = sequences[number]
-            if (at + 1 == len(s) or s[at + 1] != behind) and (at < n or s[at - n] != before):
-                by[number].append((end - n, at + 1 - n, n))
-    out = {}
-    for number, parts in by.items():
-        size = sizes[number]
-        if sum(n for _, _, n in parts) < coverage * size:
-            continue
+            lacks = need - covers[-1]
+        if j + lacks > m:
+            break
+        i = max(i + 1, bisect_right(spots, spots[j + lacks - 1] - room))
+    return out
+
+
+def leaked_stretches(
+    runs: list[tuple[int, int, int]], places: list[list[tuple[int, int]]], sequences: list[list[int]], needs: list[int], words: list[int], stretch: float, wanted: set[int]
+) -> list[tuple[int, int, int, int]]:
+    """(passage, words covered, first word, end) of the stretches in which the document leaks a wanted passage."""
+    inside: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for end, n, q in runs:
+        for number in {number for number, _ in places[q]} & wanted:
+            inside[number].append((end - n, end))
+    out = []
+    for number, parts in sorted(inside.items()):
         parts.sort()
-        room = int(stretch * size) + 40
-        if most_in(parts, room) < coverage * size:
-            continue
-        best: list[tuple[int, int]] = []
-        top = (0, 0, 0)
-        for j, (d, s, n) in enumerate(parts):
-            cover, first = n, d
-            for i in range(j - 1, max(-1, j - 200), -1):
-                e, t, m = parts[i]
-                c, f = best[i]
-                if d + n - f > room or t >= s or e >= d:
-                    continue
-                # runs may overlap in the document or in the passage; what overlaps counts once
-                fresh = n - max(0, e + m - d, t + m - s)
-                if fresh > 0 and c + fresh > cover:
-                    cover, first = c + fresh, f
-            best.append((cover, first))
-            if cover > top[0]:
-                top = (cover, first, d + n)
-        out[number] = top
+        spots, at = [], 0
+        for d, e in parts:
+            spots += range(max(d, at), e)
+            at = max(at, e)
+        sequence = sequences[number]
+        out += [(number, *x) for x in stretches(spots, words, sequence, needs[number], int(stretch * len(sequence)) + 40)]
     return out
 
 
 class Scanner:
-    def __init__(self, passages: list[tuple[str, str, list[str]]], coverage: float, min_run: int, stretch: float):
+    def __init__(self, passages: list[tuple[str, str, list[str]]], coverage: float, min_run: int, stretch: float, whole: int = 12):
         self.names = [(t, k) for t, k, _ in passages]
         self.sizes = [len(w) for _, _, w in passages]
         self.ids: dict[str, int] = {}
         sequences = [[self.ids.setdefault(x, len(self.ids) + 1) for x in w] for _, _, w in passages]
         self.sequences = sequences
         self.automaton = Automaton.of(sequences)
-        self.coverage, self.min_run, self.stretch = coverage, min_run, stretch
+        self.needs = [n if n < whole else math.ceil(coverage * n) for n in self.sizes]
+        self.min_run, self.stretch = min_run, stretch
         base = len(self.ids) + 2
         self.base = base
         self.triples = np.unique(np.concatenate([self._triples(np.array(s, np.int64)) for s in sequences] or [np.zeros(0, np.int64)]))
@@ -208,7 +220,7 @@ class Scanner:
         self.begins = np.concatenate([np.concatenate([np.searchsorted(self.triples, self._triples(np.array(s, np.int64))), none])[: len(s)] for s in sequences] or [none])
         self.offsets = np.cumsum([0, *self.sizes[:-1]])
         # what the smallest passage needs; a run of n words has n - 2 triples, so runs of 3 need a third of the words
-        self.least = max(1, int(min((coverage * n / 3 for n in self.sizes), default=1)))
+        self.least = max(1, min(self.needs, default=1) // 3)
 
     def _triples(self, a: np.ndarray) -> np.ndarray:
         t = a[:-2] * (self.base * self.base) + a[1:-1] * self.base + a[2:]
@@ -225,22 +237,22 @@ class Scanner:
         same = self.triples[np.minimum(at, len(self.triples) - 1)] == t
         if same.sum() < self.least:
             return []
-        # a chain covers only words of the passage that lie in a triple of the document
+        # covered are only words of the passage that lie in a triple of the document
         present = np.zeros(len(self.triples) + 1, np.bool_)
         present[at[same]] = True
         begun = present[self.begins]
         covered = begun.copy()
         covered[1:] |= begun[:-1]
         covered[2:] |= begun[:-2]
-        wanted = np.flatnonzero(np.add.reduceat(covered, self.offsets, dtype=np.int64) >= self.coverage * np.array(self.sizes))
+        wanted = np.flatnonzero(np.add.reduceat(covered, self.offsets, dtype=np.int64) >= np.array(self.needs))
         if not len(wanted):
             return []
         known = a.tolist()
-        found = chains(self.automaton.runs(known, self.min_run), self.automaton.places, self.sequences, known, self.stretch, self.coverage, set(wanted.tolist()))
-        return [(*self.names[k], c, self.sizes[k], f, e) for k, (c, f, e) in sorted(found.items()) if c >= self.coverage * self.sizes[k]]
+        found = leaked_stretches(self.automaton.runs(known, self.min_run), self.automaton.places, self.sequences, self.needs, known, self.stretch, set(wanted.tolist()))
+        return [(*self.names[k], c, self.sizes[k], f, e) for k, c, f, e in found]
 
 
-def passages_of(fim: DataFrame, completion: DataFrame, min_words: int = 12) -> list[tuple[str, str, list[str]]]:
+def passages_of(fim: DataFrame, completion: DataFrame, min_words: int = 3) -> list[tuple[str, str, list[str]]]:
     """(task_id, passage, words) of the middles, prefixes and prompts; their size is checked before they are collected."""
     rows = fim.select("id", F.lit("middle").alias("passage"), F.col("middle").alias("text")).unionByName(fim.select("id", F.lit("prefix").alias("passage"), F.col("prefix").alias("text")))
     rows = rows.unionByName(completion.select("id", F.lit("prompt").alias("passage"), F.col("prompt").alias("text"))).where("id is not null and text is not null").distinct()
@@ -254,8 +266,9 @@ def passages_of(fim: DataFrame, completion: DataFrame, min_words: int = 12) -> l
 def leaks(
     spark: SparkSession, documents: DataFrame, fim: DataFrame, completion: DataFrame, coverage: float = 0.42, min_run: int = 3, stretch: float = 2.5
 ) -> DataFrame:
-    """doc_id, task_id, passage, covered, words, first_word, last_word: one row per document and leaked passage."""
-    shared = spark.sparkContext.broadcast(passages_of(fim, completion))
+    """doc_id, task_id, passage, covered, words, first_word, last_word: one row per document and stretch of it that leaks a
+    passage."""
+    shared = spark.sparkContext.broadcast(passages_of(fim, completion, min_run))
     made: dict[int, Scanner] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +289,8 @@ def leaked(found: DataFrame) -> DataFrame:
 
 
 def without_leaks(spark: SparkSession, documents: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text: documents with their leaked stretches of words (and what stands between them) cut out."""
+    """doc_id, text: documents with their leaked stretches of words (and what stands between them) cut out; what is left
+    stays as it was written."""
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
 
     def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -286,12 +300,50 @@ def without_leaks(spark: SparkSession, documents: DataFrame, found: DataFrame) -
     return rows.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.arrow_udf(cut_out, "string")(F.when(F.col("spans").isNotNull(), F.col("text")), "spans")).alias("text"))
 
 
+#: An ASCII run, or what may become one character: an ASCII one with what follows it.
+PIECE = re.compile(r"[\x00-\x7f]+(?![^\x00-\x7f])|[\x00-\x7f]?[^\x00-\x7f]+")
+
+
+def _pieces(text: str) -> Iterator[tuple[str, int, int]]:
+    """(canonical, start, end): pieces of a text with their one character form; together that of the text, but for \\r."""
+    for m in PIECE.finditer(text):
+        piece = m[0]
+        if piece.isascii():
+            yield from ((c, m.start() + k, m.start() + k + 1) for k, c in enumerate(piece))
+            continue
+        ends = [k for k in range(1, len(piece)) if not unicodedata.combining(piece[k])] + [len(piece)]
+        parts = [(canonical(piece[a:b]), a, b) for a, b in zip([0, *ends], ends)]
+        if "".join(p for p, _, _ in parts) != canonical(piece):
+            parts = [(canonical(piece), 0, len(piece))]
+        yield from ((p, m.start() + a, m.start() + b) for p, a, b in parts)
+
+
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where in the text the words stand that quoted_words has of it."""
+    if text.isascii():
+        form, at = text, range(len(text) + 1)
+        until = range(1, len(text) + 2)
+    else:
+        kept = [x for x in _pieces(text) if x[0]]
+        form = "".join(p for p, _, _ in kept)
+        at = [a for p, a, _ in kept for _ in p]
+        until = [b for p, _, b in kept for _ in p]
+    if "\\" in form or "&" in form:
+        # an escape becomes one character, which stands where the whole escape does
+        chars, a, b, k = [], [], [], 0
+        for m in ESCAPES.finditer(form):
+            chars += [form[k : m.start()], _unescape(m)]
+            a += [*at[k : m.start()], at[m.start()]]
+            b += [*until[k : m.start()], until[m.end() - 1]]
+            k = m.end()
+        form, at, until = "".join([*chars, form[k:]]), [*a, *at[k:]], [*b, *until[k:]]
+    return [(at[m.start()], until[m.end() - 1]) for m in WORD.finditer(form)]
+
+
 def _cut(text: str, spans: list[dict]) -> str:
-    text = ESCAPES.sub(_unescape, canonical(text))
-    words = [m.span() for m in WORD.finditer(text)]
-    drop = sorted((words[s["first_word"]][0], words[s["last_word"] - 1][1]) for s in spans)
+    words = word_places(text)
     out, at = [], 0
-    for a, b in drop:
+    for a, b in sorted((words[s["first_word"]][0], words[s["last_word"] - 1][1]) for s in spans):
         if a > at:
             out.append(text[at:a])
         at = max(at, b)

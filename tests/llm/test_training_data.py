@@ -372,3 +372,58 @@ def test_similarity_hash_keeps_scattered_edits():
             lost += not (near and (keys == k).any())
             joined += int(np.bitwise_count((bits ^ c).view(np.uint64)).sum()) <= overlap.RADIUS
     assert lost <= 2 and joined <= 16
+
+
+def test_leaks_of_long_renamed_passages():
+    """A passage kept to three quarters in order leaks at any length, however many runs it falls into."""
+    r = random.Random(5)
+    for n in (200, 600, 1600, 6000):
+        p = [f"w{r.randint(0, 9 * n)}" for _ in range(n)]
+        kept = [w if i % 8 < 6 else f"other{i}" for i, w in enumerate(p)]
+        found = leakage.Scanner([("t", "prompt", p)], 0.42, 3, 2.5).leaks("x y z " * 50 + " ".join(kept) + " a b c" * 50)
+        assert [(x[0], x[2] >= 0.74 * n, x[4], x[5]) for x in found] == [("t", True, 150, 150 + n - 2)], n
+
+
+def test_leaks_of_short_passages_and_of_several_copies():
+    scanner = leakage.Scanner([("s", "middle", "one two three four five".split()), ("l", "prefix", [f"w{i}" for i in range(40)])], 0.42, 3, 2.5)
+    long = " ".join(f"w{i}" for i in range(40))
+    assert [x[0] for x in scanner.leaks("zero one two three four six")] == []
+    assert [x[0] for x in scanner.leaks("zero one two three four five six")] == ["s"]
+    assert [(x[0], x[4], x[5]) for x in scanner.leaks(long + " q" * 200 + " " + long)] == [("l", 0, 40), ("l", 240, 280)]
+
+
+def test_stretches_equal_plain_search():
+    r = random.Random(8)
+    for _ in range(300):
+        size = r.randint(3, 12)
+        passage = [r.randint(0, 5) for _ in range(size)]
+        words = [r.randint(0, 7) for _ in range(r.randint(0, 60))]
+        spots, need, room = [i for i, w in enumerate(words) if w in passage], r.randint(2, size), r.randint(5, 30)
+        found = leakage.stretches(spots, words, passage, need, room)
+
+        def most(a, b):
+            row = [0] * (size + 1)
+            for w in words[a:b]:
+                row = _next_row(row, passage, w)
+            return row[-1]
+
+        assert bool(found) == any(most(a, a + room) >= need for a in range(len(words)))
+        assert all(most(f, e) == c >= need and e - f <= room for c, f, e in found)
+
+
+def _next_row(row, passage, w):
+    new = [0]
+    for k, x in enumerate(passage):
+        new.append(max(row[k + 1], new[k], row[k] + (x == w)))
+    return new
+
+
+def test_cutting_leaves_the_rest_as_written():
+    words_of = [f"w{i}" for i in range(20)]
+    inner = " ".join(words_of)
+    text = 'const a = "x\\ny &amp; z";\r\n\uff21\uff22\uff23 caf\u0065\u0301 \u200b' + inner.replace("w7", "\uff577") + '\u3000\uff24 "q\\tr" &lt;b&gt;'
+    assert [words.quoted_words(text)[k] for k in range(len(leakage.word_places(text)))] == words.quoted_words(text)
+    hit = leakage.Scanner([("t", "prompt", words_of)], 0.42, 3, 2.5).leaks(text)
+    assert len(hit) == 1
+    left = leakage._cut(text, [{"first_word": hit[0][4], "last_word": hit[0][5]}])
+    assert left.startswith('const a = "x\\ny &amp; z";\r\n\uff21\uff22\uff23 caf\u0065\u0301 ') and left.endswith('\u3000\uff24 "q\\tr" &lt;b&gt;') and "w3" not in left
