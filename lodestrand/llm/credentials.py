@@ -43,7 +43,7 @@ SAYING, DENYING = re.compile(SAYS, re.I), re.compile(DENIES, re.I)
 VOID = re.compile(r"(?i)x{6,}|\*{3,}|•{3,}|\.{4,}|^<.*>$|\$\{|\{\{|^%\w+%$|^\$[A-Z_]+$|example_|_example|not_a_|do_not|change_?me|replace|your[_-]|placeholder|dummy|^test_|todo|redacted|^data:|^sha\d+-|^(.)\1+$|^0123456|^1234567|abcdefgh")
 CANDIDATE = re.compile(
     r"(?:[Pp][Aa][Ss][Ss]|[Pp][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii][Kk_-][Ee_]?|[Cc]red(?:ential)?|CRED|[Aa]uth(?!or)|AUTH|[Bb]earer|BEARER|[Kk]ey|KEY|[Ll]ogin|[Dd]sn|DSN|[Ww]ebhook|WEBHOOK)"
-    r"[^\n]{0,120}?(?:[\"'`=:(]|\s[^\s]{6})"
+    r"[^\n]*?(?:[\"'`=:(]|\s[^\s]{6})"
     r"|(?<=[\"'`=:\s/])(?=[A-Za-z+/_=-]{0,24}\d)(?=[\d+/_=-]{0,24}[A-Za-z])[A-Za-z0-9+/_=.-]{20,}|://[^\s/:@\"'`]+:[^\s/@\"'`]+@|-----BEGIN|Basic [A-Za-z0-9+/=]{8}|(?:-u|--user) [\w.-]+:[^\s]{4}"
 )
 LEX = re.compile(
@@ -132,7 +132,7 @@ def shape(token: str) -> tuple[str, ...]:
         chars = "b64"
     else:
         chars = "marks"
-    classes = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "m" for c in token[:80]]
+    classes = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "m" for c in token]
     changes = sum(a != b for a, b in zip(classes, classes[1:])) / max(1, len(classes) - 1)
     url = re.match(r"[A-Za-z][\w+.-]*://([^\s/@]*):([^\s/@]+)@", token)
     info = "no" if not url else "void" if VOID.search(url[2]) or re.search(r"[<{$]", url[1]) else "yes"
@@ -417,6 +417,8 @@ def trained(sentences: int = SENTENCES, seed: int = 7) -> Field:
 # -- finding
 END = re.compile(r"-----END[^\n\"'`]*PRIVATE KEY[^\n\"'`-]*-----")
 SPLIT_PEM = re.compile(r"-----BEGIN\s*[\"'`+,\s\\n]{0,40}(?:(?:RSA|EC|DSA|OPENSSH|ENCRYPTED|PGP)[\"'`+,\s]{0,40})?PRIVATE[\"'`+,\s]{0,40}KEY")
+#: What of a key may follow its BEGIN line where no END line does: long runs of its characters and what joins them.
+KEY_MATERIAL = re.compile(r"(?:\\[nr]|[\s\"'`+,.()\[\]\\-]|(?:Proc-Type|DEK-Info)[^\n]*|[A-Za-z0-9+/=]{8,})*")
 PLAIN_GAP = re.compile(r"[\s\"'`+,.\\()\[\]]*(?:\.concat\()?[\s\"'`+,]*")
 
 
@@ -454,10 +456,10 @@ def credentials(text: str | None, field: Field) -> list[tuple[int, int]]:
             continue
         rows = features(tokens)
         labels = field.spans(rows) if any(t.kind in ("q", "b", "c", "u", "w", "n", "pem") for t in tokens) else []
-        found += [(t.at, t.end) for t, y in zip(tokens, labels) if y and t.kind in ("q", "b", "c", "u", "w", "n")]
+        found += [(t.at, t.end) for t, y in zip(tokens, labels) if y and t.kind in ("q", "b", "c", "u", "w", "n", "d")]
     for m in re.finditer(SPLIT_PEM, text):
         e = END.search(text, m.end())
-        body = text[m.end() : e.start() if e else m.end() + 200]
+        body = text[m.end() : e.start()] if e else KEY_MATERIAL.match(text, m.end())[0]
         if len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 40 and not re.search(r"\.\.\.|…|<[^>]+>|x{8}", body):
             found.append((m.start(), e.end() if e else len(text)))
     found.sort()

@@ -63,7 +63,6 @@ DIRECTORIES = {
 PACKAGE_VERSION = r"^[a-z][\w.-]*[-@]v?[0-9]+\.[0-9]+\.[0-9]+$"
 
 LEAD = re.compile(r"﻿?(?:#![^\n]*\n)?(?:\s|//[^\n]*|/\*[\s\S]*?\*/|#[^\n{]*\n|<!--[\s\S]*?-->|[\"']use strict[\"'];?)*")
-TAIL = re.compile(r"(?:\s|//[^\n]*\n?|/\*[^/]*\*/|#[^\n{]*\n)*\Z")
 QUOTED = re.compile(r"\"[^\"\n]*\"|'[^'\n]{2,}'|“[^”\n]*”")
 GENERATED = re.compile(
     r"(?i)@generated\b|<auto-?generated\b|\bauto-?generated\s+file\b|\bauto(?:matically|-)\s*generated\s+(?:from|by|with|using|on)\b|\bcode\s+generated\s+by\b"
@@ -79,7 +78,7 @@ COMPILED = re.compile(r"^[\"']use strict[\"'];?\s*(?:var __|Object\.defineProper
 SOURCE_MAP = re.compile(r"^//[#@] sourceMappingURL=\S+\s*\Z", re.M)
 SNAPSHOT = re.compile(r"^exports\[`[^`]*`\] = `", re.M)
 LOCK_NAMES = {"package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "bun.lock", "deno.lock", "poetry.lock", "pipfile.lock"}
-LOCKED = re.compile(r"\"lockfileVersion\"|^lockfileVersion:", re.M)
+LOCKED = re.compile(r"\"lockfileVersion\"\s*:\s*\d|^lockfileVersion:", re.M)
 RELEASE = re.compile(
     r"(?im)^\W*!?\s*@?[a-z][\w.@/-]*(?:\.js)?\s+v?\d+\.\d+\.\d+\b[^\n]*(?:https?://|\||\blicen[sc]e|\b(?:MIT|BSD|ISC|Apache)\b)"
     r"|@license\b[\s*]*[a-z][\w.@/-]*\s+v?\d+\.\d+|\b(?:copied|vendored|imported|taken)\s+(?:\w+\s+){0,2}from\b[^\n]*\d+\.\d+|\bin\s+sync\s+with\s+upstream\b"
@@ -90,6 +89,7 @@ DATUM = re.compile(r"[\"'`][MLHVCSQTAZmlhvcsqtazeE\d\s.,+-]{12,}[\"'`]|\"(?:[^\"
 ENCODED = re.compile(r"[\"'`](?:data:[\w/+.;=-]+,)?[A-Za-z0-9+/=_\\x-]{80,}[\"'`]")
 FIELD = re.compile(r"[\w$\"'-]+\s*:\s*(?=[\"'`\d\-+{\[tfn])|[\[\]{}(),;+:]|\b(?:true|false|null)\b")
 LINE_COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/")
+DATA = ("json", "md", "yaml", "yml", "env")
 CODE = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs")
 
 
@@ -105,6 +105,22 @@ def data_share(text: str) -> tuple[float, int]:
     return min(1.0, (inside + listed) / visible), inside
 
 
+def comment_end(text: str) -> int:
+    """Where the comments begin that end a text."""
+    at = len(text)
+    while at:
+        first = text.rfind("\n", 0, at - 1 if text[at - 1] == "\n" else at) + 1
+        line = text[first:at].strip()
+        if line.endswith("*/") and (opened := text.rfind("/*", 0, at)) >= 0:
+            at = opened
+        elif not line or line.startswith("//") or line[0] == "#" and "{" not in line:
+            at = first
+        else:
+            # a comment behind the last statement
+            return first + text[first:at].index("//") if "//" in line else at
+    return at
+
+
 def evidence(text: str | None, path: str | None) -> list[float]:
     """A file's score for each label, 0 for handwritten."""
     score = [0.0] * 5
@@ -118,16 +134,15 @@ def evidence(text: str | None, path: str | None) -> list[float]:
     text = text or ""
     if not text.strip():
         return [0.0, score[1] / 2, score[2] / 2, 0.0, 0.0]
-    if name in LOCK_NAMES or LOCKED.search(text[:2000]):
+    if name in LOCK_NAMES or ext in DATA and LOCKED.search(text):
         score[1] += 6.0 if name in LOCK_NAMES else 3.0
-    if ext in ("json", "md", "yaml", "yml", "env"):
+    if ext in DATA:
         # data and prose are what such files are for; only a lock file or a whole header speaks against a hand
         score = [0.0, score[1], 0.0, 0.0, 0.0]
         if ext == "md":
             return score
     lead = LEAD.match(text)[0]
-    tail = text[-600:]
-    tail = tail[TAIL.search(tail).start() :] if len(text) > len(lead) else ""
+    tail = text[max(len(lead), comment_end(text)) :]
     notes = QUOTED.sub('""', lead + "\n" + tail)
     if GENERATED.search(notes):
         score[1] += 6.0
@@ -140,7 +155,7 @@ def evidence(text: str | None, path: str | None) -> list[float]:
             score[1] += 5.0
         if len(SNAPSHOT.findall(text)) >= 1:
             score[1] += 5.0
-        if UMD.search(text[: len(lead) + 600]):
+        if UMD.search(text):
             score[3] += 5.0
         if MODULES.search(text):
             score[2] += 4.5
