@@ -10,6 +10,7 @@ source code repeats its shapes, and nearly all groups are answered by one look-u
 from __future__ import annotations
 
 import re
+import sys
 
 #: One character for each word that the grammar tells from a name.
 WORDS = {
@@ -1076,6 +1077,18 @@ class Recogniser:
 
     def _whole(self, kind: str, text: str) -> tuple[str, ...] | str:
         flat = text.replace("\n", "")
+        try:
+            return self._parsed(flat, text, kind)
+        except RecursionError:
+            # a very long chain (else if, ternary) calls once or a few times for each of its tokens
+            usual = sys.getrecursionlimit()
+            sys.setrecursionlimit(usual + 50 * len(flat))
+            try:
+                return self._parsed(flat, text, kind)
+            finally:
+                sys.setrecursionlimit(usual)
+
+    def _parsed(self, flat: str, text: str, kind: str) -> tuple[str, ...] | str:
         try:
             p = Parser(flat, self.ts)
             p.whole(kind)
@@ -1087,8 +1100,6 @@ class Recogniser:
                 p.whole(kind)
             except Bad:
                 return str(first)
-        except RecursionError:
-            return ("?",)
         return tuple(p.kids[i] for i in sorted(p.kids))
 
     def _block(self, text: str) -> tuple[str, ...] | str:

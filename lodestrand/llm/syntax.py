@@ -2,9 +2,8 @@
 
 Method: a lexer per language and a pushdown stack. The lexers find unterminated literals and characters no
 token begins with; the stack finds unbalanced delimiters and premature ends; what stands between the
-delimiters is then recognised, group by group, as token classes (grammar.py for TypeScript, TSX and
-JavaScript, a rewriting of value classes for JSON, line and neighbour rules for Python). The Python rules only
-accuse: an accused file counts when Python's own parser refuses it too, which needs no other file's parsing.
+delimiters is then recognised, group by group (grammar.py for TypeScript, TSX and JavaScript, pygrammar.py for
+Python, a rewriting of value classes for JSON).
 
 Defined results: null, empty and blank texts are valid; documents without a known extension (ts, mts, cts,
 tsx, js, json, py; also d.ts) are not judged; a leading byte order mark is no fault; invisible characters
@@ -14,16 +13,15 @@ in tsconfig.json. Repeated rows are judged each; extra columns pass unread; an e
 
 from __future__ import annotations
 
-import ast
 import functools
 import re
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.llm import pygrammar
 from lodestrand.llm.families import key
 from lodestrand.llm.grammar import CONFLICT, Bad, Classes, Recogniser, grouped, lexed, without_elements
 
@@ -87,104 +85,6 @@ def json_fault(text: str, relaxed: bool) -> str | None:
     return None if s in ("s", "v") else "unexpected token"
 
 
-# -- Python
-PY_TOKEN = re.compile(
-    r"""(?i:[rbfut]{0,2})(?:\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')"""
-    r"""|[^\W\d]\w*|\#[^\n]*|\\\r?\n|\n[ \t]*|\.?\d(?:[\w.]|(?<=[eE])[+-](?=\d))*|->|:=|\*\*=?|//=?|<<=?|>>=?|[=!<>+\-*/%&|^@]=|\.\.\.|[^\s]"""
-)
-#: Python's keywords by what may stand beside them.
-BLOCKS = frozenset("if elif else for while def class try except finally with async match case".split())
-JOINING = frozenset("and or not in is lambda if else for async from import as await yield return raise del assert global nonlocal with except elif while def class print".split())
-LONE = frozenset("pass break continue".split())
-
-
-def python_class(t: str) -> str:
-    h = t[0]
-    if h in "\"'" or t[-1] in "\"'" and len(t) > 1 and (h.isalpha()):
-        return "s" if len(t) > 1 and t[-1] in "\"'" else "\x00"
-    if h.isalpha() or h == "_":
-        return "k" if t in JOINING and t != "print" else "l" if t in LONE else "i"
-    if h.isdigit() or (h == "." and len(t) > 1 and t != "..."):
-        return "n"
-    if t == "...":
-        return "i"
-    if t in "()[]{}":
-        return t
-    if t in ",:.;@":
-        return t
-    if t in "+-~*" or t == "**":
-        return "u"
-    if t in ("=", ":=") or (t[-1] == "=" and t not in ("==", "!=", "<=", ">=")):
-        return "="
-    if t in ("==", "!=", "<=", ">=", "<", ">", "%", "&", "|", "^", "/", "//", "<<", ">>", "->"):
-        return "o"
-    return "\x00"
-
-
-ODD = re.compile(r"[insl)\]}pab][inlX]|[inp]s|s[in]|[o=u.](?:[,;:)\]}o]|$)|^[o=),\].]|[.][^i k]")
-
-
-def python_accused(text: str) -> str | None:
-    """What the lexer, the stack or the neighbour rules object to; None: nothing."""
-    lines: list[tuple[int, list[str], str]] = []
-    stack: list[str] = []
-    indent, classes, first = 0, [], ""
-    for t in PY_TOKEN.findall("\n" + text + "\n"):
-        if t[0] == "#" or t[0] == "\\" and len(t) > 1:
-            continue
-        if t[0] == "\n":
-            if not stack:
-                if classes:
-                    lines.append((indent, classes, first))
-                indent, classes, first = len(t[1:].expandtabs()), [], ""
-            continue
-        c = python_class(t)
-        if c == "\x00":
-            return "unterminated literal or unknown character"
-        if c in "([{":
-            stack.append(c)
-        elif c in ")]}":
-            if not stack or {"(": ")", "[": "]", "{": "}"}[stack.pop()] != c:
-                return "unbalanced delimiters"
-        if not classes:
-            first = t
-        classes.append(c)
-    if stack:
-        return "premature end"
-    levels, opens = [0], False
-    for indent, classes, first in lines:
-        if opens and indent <= levels[-1] or not opens and indent > levels[-1]:
-            return "indentation"
-        if indent > levels[-1]:
-            levels.append(indent)
-        while indent < levels[-1]:
-            levels.pop()
-        if indent != levels[-1]:
-            return "indentation"
-        s = "".join(classes)
-        if first in BLOCKS and first not in ("match", "case", "async") and ":" not in s:
-            return "unexpected token"
-        opens = s.endswith(":")
-        if ODD.search(s):
-            return "unexpected token"
-    return None
-
-
-def python_fault(text: str) -> str | None:
-    accused = python_accused(text)
-    if accused is None:
-        return None
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-    except (SyntaxError, ValueError):
-        return accused
-    except (RecursionError, MemoryError):
-        return None
-    return None
-
-
 @functools.cache
 def scripts() -> Scripts:
     return Scripts()
@@ -204,7 +104,7 @@ def fault_of(text: str | None, path: str | None) -> str | None:
     if language == "json":
         fault = json_fault(text, (path or "").strip().lower().rpartition("/")[2] == "tsconfig.json")
     elif language == "python":
-        fault = python_fault(text)
+        fault = pygrammar.fault(text)
     else:
         fault = scripts().fault(text, language)
     return "merge conflict marker" if fault and CONFLICT.search(text) else fault

@@ -450,3 +450,78 @@ def test_credentials_far_into_a_line_and_keys_without_end():
     assert credentials.starts(cut_short, credentials.credentials(cut_short, field)) == [2]
     spoken = "// looks for -----BEGIN PRIVATE KEY----- in a text and says so to those who have asked for it before\n" * 3
     assert credentials.starts(spoken, credentials.credentials(spoken, field)) == []
+
+
+#: Statements of every kind, to be broken at random places.
+PYTHON = """
+x = 1; y: int = 2
+a, *b = c = d
+(a) += 1 ** -x @ y
+async def f[T: int](a, /, b=1, *c, d: "x" = 2, **k) -> int: return [x async for x in y if z if not w]
+@a.b(c)[d]
+class A[T](B, metaclass=C): pass
+del (a, [b]), c.d[1:2, ::3, *e]
+assert a, b
+raise A from b
+global a, b
+import a.b as c, d
+from ..x import (a as b, c,)
+from . import y
+lambda *a, k=1, **kw: (yield)
+print(*a, sep='', **{**k, 'b': 1})
+if a := 1: pass
+while a < b <= c is not d not in e: break
+for a.b, c[d] in *e, f: continue
+with (a as b, c as d,): pass
+with open(x) as (f, g), h: pass
+try: x
+match x.y:
+  case [1, *r] | {'a': -1, **k} if b: pass
+  case A.B(c=1, d="s") as e: pass
+type X[T] = list[T]
+x = f'{a!r:>{w}} {{}} {x=} {d["k"]}' b'' r"\\d"
+{a: b for a, b in c.items() if d}, {*a, b}, (x for x in y)
+x = a if b else lambda: c or not d
+nonlocal q
+return 0x1F, 1_0.5e-3j, 0b1, ...
+""".strip().split("\n")
+PIECES = "( ) [ ] { } , : . = == := * ** / + - not in is and or if else for lambda yield await async def class return import from as with try except finally raise del assert x 1 'a' ; @ -> ... True pass while".split()
+
+
+def test_python_verdicts_equal_the_languages_own_parser():
+    import ast
+    import re
+    import warnings
+
+    def valid(text):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            try:
+                ast.parse(text)
+            except (SyntaxError, ValueError):
+                return False
+            return True
+
+    r = random.Random(11)
+    broken = ["1 = x", "if x = 1: pass", "else:\n  x", "try:\n  x\ny", "from x import", "f(a=1, 2)", "not = 3", "x = 0777", "f() = 1", "raise from x", "x = 1 +* 2", "return = 3", "x = yield = 3", "import a.b as c.d", "del f()",
+              "async x = 1", "with open(x) as 3: pass", "@", 'f"{a b}"', "(*a)", "f(**k, *a)", "def f(a=1, b): pass", "lambda *: 1", "a, b: int", "x[]", "{a: b, c}", "a := 1", "if x:\n\ty\n        z", "'\\x1'", "x = 1if", "x = (1", "a ? b"]
+    texts = broken + ["\n".join(PYTHON[22:25]), "if a:\n  b\nelif c:\n  d\nelse:\n  e\n", "try:\n  a\nexcept* B as c:\n  d\nelse:\n  e\nfinally:\n  f", "x = '\\x8d\\u00e4\\N{BULLET}'"]
+    for _ in range(3000):
+        parts = re.findall(r"\w+|\s+|[^\w\s]", r.choice(PYTHON))
+        for _ in range(r.choice([1, 1, 2])):
+            i = r.randrange(len(parts))
+            parts[i : i + r.choice([0, 1])] = r.choice([[], [" ", r.choice(PIECES), " "], [r.choice(parts)]])
+            parts = parts or ["x"]
+        texts.append("".join(parts))
+    different = [t for t in texts if (syntax.fault_of(t, "a.py") is None) != valid(t) and t.strip()]
+    assert different == [] and not any(valid(t) for t in broken)
+
+
+def test_faults_at_the_end_of_long_chains_and_deep_nesting():
+    chain = "if (a === 0) { b(); }" + "".join(f" else if (a === {i}) {{ b({i}); }}" for i in range(6000))
+    assert syntax.fault_of(chain, "a.ts") is None
+    assert syntax.fault_of(chain + " else { b(1 2); }", "a.ts") and syntax.fault_of(chain + " else { b(); ", "a.ts")
+    ternary = "const x = " + "".join(f"a === {i} ? {i} : " for i in range(6000))
+    assert syntax.fault_of(ternary + "0;", "a.ts") is None and syntax.fault_of(ternary + "(0 1);", "a.ts")
+    deep = "x = " + "(" * 3000 + "1" + ")" * 3000
+    assert syntax.fault_of(deep, "a.py") is None and syntax.fault_of(deep.replace("1", "1 2"), "a.py")
