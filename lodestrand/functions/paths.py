@@ -13,9 +13,9 @@ from lodestrand.functions.text import let, lines, reasons
 REJECTED_PARTS = ("node_modules", "dist", "build", ".next", "coverage", ".cache", ".git", "vendor")
 GENERATED_MARKERS = ("@generated", "auto-generated", "automatically generated", "do not edit", "generated by")
 SYNTAX = r"\b(interface|type|class|function|const|let|enum|namespace|import|export|declare)\b|=>|<[A-Z][\p{L}\p{N}_.]*"
-COMMIT, SHA256, SOURCE_ID = r"^[0-9a-f]{40}$", r"^[0-9a-f]{64}$", r"^[a-z0-9][a-z0-9._-]{0,127}$"
-GITHUB = r"^https://github\.com/[A-Za-z0-9](?:[A-Za-z0-9-]{0,38})/[A-Za-z0-9._-]{1,100}\.git$"
-UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|\+00:00)$"
+COMMIT, SHA256, SOURCE_ID = r"^[0-9a-f]{40}\z", r"^[0-9a-f]{64}\z", r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,127}\z"
+GITHUB = r"^https://github\.com/[A-Za-z0-9][A-Za-z0-9-]{0,38}/[A-Za-z0-9][A-Za-z0-9._-]{0,99}\z"
+UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z\z"
 
 
 def name_of(path: Column) -> Column:

@@ -23,10 +23,17 @@ def lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
 
 
+def without_space(text: Column, by: str, runs: bool = True) -> Column:
+    """White space (runs of it, or each) replaced. Texts of ASCII characters alone, nearly all, need a narrower class only,
+    which takes less than half the time."""
+    more = "+" if runs else ""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.regexp_replace(text, SPACE + more, by)).otherwise(F.regexp_replace(text, r"[\s\x1c-\x1f]" + more, by))
+
+
 def normalized(text: Column) -> Column:
     """Comments taken out (lexically, also in strings), white space runs made one space, trimmed."""
     bare = F.regexp_replace(text, r"/\*[\s\S]*?\*/|//[^\n]*", "")
-    return F.regexp_replace(F.regexp_replace(bare, f"{SPACE}+", " "), r"^ | $", "")
+    return let(bare, lambda t: F.trim(without_space(t, " ")))
 
 
 def sha256(text: Column) -> Column:
@@ -88,7 +95,7 @@ def _measures(text: Column, ls: Column, ids: Column) -> Column:
         (total / F.size(ls)).alias("mean_line_length"),
         F.array_max(sizes).cast("bigint").alias("max_line_length"),
         ((F.length(text) - F.length(F.regexp_replace(text, COMMENT, ""))) / chars).alias("comment_ratio"),
-        ((F.length(text) - F.length(F.regexp_replace(text, SPACE, ""))) / chars).alias("whitespace_ratio"),
+        ((F.length(text) - F.length(without_space(text, "", runs=False))) / chars).alias("whitespace_ratio"),
         (F.size(F.array_distinct(ids)) / F.greatest(F.size(ids), F.lit(1))).alias("identifier_diversity"),
         (F.lit(1) - F.size(F.array_distinct(ls)) / F.size(ls)).alias("repetition_ratio"),
     )

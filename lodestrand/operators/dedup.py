@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import shingles
@@ -22,14 +22,17 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     """sets: id, items (distinct hashes). Pairs a < b with Jaccard >= threshold, exact: a, b, common, jaccard.
 
     Prefix filter: of n items, ordered rarest first, only n - ceil(t n) + 1 are joined, with the length filter on
-    both sides; the sets themselves join only the surviving pairs. Threshold 0 joins all items."""
+    both sides; the sets themselves join only the surviving pairs. Items of one set alone, the first in that order, are
+    never joined nor sorted: a set of which m items occur elsewhere joins m - ceil(t n) + 1 of those, or none at all.
+    Threshold 0 joins all items."""
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold must lie in [0, 1]")
     sized = cut(sets.withColumn("n", F.size("items")).where("n > 0"))
     exploded = sized.select("id", "n", F.explode("items").alias("item"))
-    rarity = exploded.groupBy("item").agg(F.count("*").alias("df"))
-    ranked = exploded.join(rarity, "item").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "item")))
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).where("df > 1").select("id", "n", "item")
+    shared = exploded.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    order = exploded.join(shared, "item").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("s"))
+    take = F.least(F.size("s"), F.size("s") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1)
+    prefix = cut(order.where(take > 0).select("id", "n", F.explode(F.transform(F.slice("s", 1, take), lambda x: x["item"])).alias("item")))
     a, b = prefix.toDF("a", "n_a", "item"), prefix.toDF("b", "n_b", "item")
     near = a.join(b, "item").where("a < b").where((F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
     x, y = sized.select(F.col("id").alias("a"), F.col("items").alias("x")), sized.select(F.col("id").alias("b"), F.col("items").alias("y"))
@@ -42,16 +45,17 @@ def fingerprints(records: DataFrame, text: str = "text", id_col: str = "record_i
     return records.select(F.col(id_col).alias("id"), shingles(F.col(text), fast=fast).alias("items"))
 
 
-def leader_clusters(records: DataFrame, threshold: float = 0.85, max_rounds: int = 64) -> DataFrame:
-    """records: record_id, normalized_sha256, included, text. Adds dedup_cluster, the leader's record_id.
+def leader_clusters(records: DataFrame, threshold: float = 0.85, max_rounds: int = 64, texts: DataFrame | None = None) -> DataFrame:
+    """records: record_id, normalized_sha256, included and, unless texts has them, text. Adds dedup_cluster, the leader's record_id.
 
     The sequential scan by record_id is the lexicographically first maximal independent set of the similarity
     graph, which rounds of joins find: a record all of whose earlier neighbours follow leads; one with an
     earlier leader follows. Equal normalised texts are one node per (hash, included); only included nodes have
-    shingles. Record ids are hashes, so a few rounds settle; each is cut by a checkpoint."""
-    rows = cut(records.select("record_id", "normalized_sha256", F.coalesce("included", F.lit(True)).alias("included"), "text"))
+    shingles. Record ids are hashes, so a few rounds settle; each is cut by a checkpoint. No text is written: texts are
+    read once more for the shingles of the nodes. Rows that stay undecided after max_rounds are an error."""
+    rows = cut(records.select("record_id", "normalized_sha256", F.coalesce("included", F.lit(True)).alias("included")))
     nodes = cut(rows.groupBy("normalized_sha256", "included").agg(F.min("record_id").alias("id")))
-    kept = rows.join(nodes.where("included").select(F.col("id").alias("record_id")), "record_id", "left_semi")
+    kept = (records if texts is None else texts).select("record_id", "text").join(nodes.where("included").select(F.col("id").alias("record_id")), "record_id", "left_semi").dropDuplicates(["record_id"])
     pairs = cut(similar_pairs(fingerprints(kept), threshold).select("a", "b"))
     twins = nodes.groupBy("normalized_sha256").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
     edges = cut(pairs.unionByName(twins).distinct())
@@ -63,6 +67,8 @@ def leader_clusters(records: DataFrame, threshold: float = 0.85, max_rounds: int
         state = cut(state.join(seen, "id", "left").select("id", leads.alias("leads")))
         if state.where("leads is null").isEmpty():
             break
+    else:
+        raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
     leaders = state.where("leads").select(F.col("id").alias("leader"))
     by_hash = nodes.join(leaders, F.col("id") == F.col("leader")).groupBy("normalized_sha256").agg(F.min("id").alias("hash_leader"))
     near = pairs.join(leaders, F.col("a") == F.col("leader")).groupBy("b").agg(F.min("a").alias("near_leader"))

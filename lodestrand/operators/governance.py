@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions.paths import COMMIT, SHA256, SOURCE_ID, UTC, safe_uri
 from lodestrand.functions.text import joined_sha256, reasons
+from lodestrand.operators.checks import CEILINGS, canonical_github
 
+#: Fixed values of the policy: accepted licences, states of a decision, what marks a licence text.
 ACCEPTED = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "CC0-1.0", "Unlicense")
 STATUSES = ("approved", "review", "rejected", "removed")
 #: The keys of an approval decision, of a receipt's identity, and of an authorization.
 DECISION = ("source_id", "source_uri", "commit_sha")
-AUTHORIZED = ("run_name", "training_config_sha256", "model_config_sha256", "manifest_sha256", "corpus_sha256", "tokenizer_sha256")
+AUTHORIZED = ("run_name", "training_config_sha256", "model_config_sha256", "manifest_sha256", "corpus_sha256", "tokenizer_sha256", "max_tokens")
 MARKERS = (
     ("MIT", ("permission is hereby granted, free of charge",)), ("Apache-2.0", ("apache license", "version 2.0")), ("ISC", ("permission to use, copy, modify, and/or distribute",)),
     ("Unlicense", ("this is free and unencumbered software",)), ("CC0-1.0", ("cc0 1.0 universal",)),
@@ -73,10 +75,13 @@ def license_disagreements(records: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def receipt_violations() -> Column:
+    """What a receipt breaks; an empty map of licences is valid."""
     return reasons(
         (F.coalesce(F.col("schema_version") != 1, F.lit(True)), "schema-version"), (~F.coalesce(F.col("source_id").rlike(SOURCE_ID), F.lit(False)), "source-id"), (~F.coalesce(F.col("commit_sha").rlike(COMMIT), F.lit(False)), "commit"),
-        (~F.coalesce(F.col("tree_sha256").rlike(SHA256), F.lit(False)), "tree"), (F.coalesce(F.col("file_count") < 0, F.lit(True)), "file-count"), (F.coalesce(F.col("total_bytes") < 0, F.lit(True)), "total-bytes"),
-        (~F.coalesce(F.col("retrieved_at").rlike(UTC), F.lit(False)), "retrieved-at"), (F.coalesce(F.size("license_sha256"), F.lit(0)) <= 0, "no-license"), (F.coalesce(F.exists(F.map_values("license_sha256"), lambda v: ~v.rlike(SHA256)), F.lit(False)), "license-digest"),
+        (~F.coalesce(F.col("tree_sha256").rlike(SHA256), F.lit(False)), "tree"), (~F.coalesce(F.col("file_count").between(0, CEILINGS["max_files"]), F.lit(False)), "file-count"), (~F.coalesce(F.col("total_bytes").between(0, CEILINGS["max_total_bytes"]), F.lit(False)), "total-bytes"),
+        (_blank("git_version"), "git-version"), (~canonical_github(F.col("source_uri")), "source-uri"),
+        (~F.coalesce(F.col("retrieved_at").rlike(UTC) & F.try_to_timestamp(F.col("retrieved_at")).isNotNull(), F.lit(False)), "retrieved-at"),
+        (F.col("license_sha256").isNull() | F.coalesce(F.exists(F.map_values("license_sha256"), lambda v: v.isNull() | ~v.rlike(SHA256)), F.lit(False)), "license-digest"),
     )
 
 
@@ -86,6 +91,17 @@ def receipts_match(receipts: DataFrame, ledger: DataFrame) -> DataFrame:
     return receipts.join(ok, list(DECISION), "left_semi").select("source_id", "commit_sha", (F.size(receipt_violations()) == 0).alias("valid")).dropDuplicates()
 
 
+def receipt_differences(receipts: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """source_uri, commit_sha, differs: in what a receipt isn't that of the snapshot of its source (reports.snapshot_digest,
+    with source_uri and commit_sha); "missing" without one. No rows: all match."""
+    kept = ("tree_sha256", "file_count", "total_bytes", "license_sha256")
+    entries = lambda c: F.array_sort(F.map_entries(c))
+    both = receipts.alias("r").join(snapshots.withColumn("found", F.lit(True)).alias("s"), ["source_uri", "commit_sha"], "left")
+    unlike = [(~(entries(F.col(f"r.{k}")).eqNullSafe(entries(F.col(f"s.{k}"))) if k == "license_sha256" else F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))), k) for k in kept]
+    names = F.when(F.col("found").isNull(), F.array(F.lit("missing"))).otherwise(reasons(*unlike))
+    return both.select("source_uri", "commit_sha", F.explode(names).alias("differs"))
+
+
 def matching_authorization(runs: DataFrame, ledger: DataFrame) -> DataFrame:
     """Per run the last authorization that agrees in all keys, approved or not."""
     last = latest(ledger.select(*AUTHORIZED, "status", "authorization_id", "approved_at"), F.struct("approved_at", "authorization_id"), AUTHORIZED)

@@ -96,6 +96,49 @@ def tree_digest(files: DataFrame) -> DataFrame:
     return small.groupBy("repository_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\u0000", "bucket", "d"))), "\n"), 256).alias("tree_sha256"), F.sum("n").alias("file_count"), F.sum("b").alias("total_bytes"))
 
 
+def weighted_mean(rows: DataFrame, value: str, weight: str) -> DataFrame:
+    """One row: the mean of groups' values by their weights; 0 where nothing weighs."""
+    ok = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0))
+    return ok.agg(F.coalesce(F.sum(F.col(value) * F.col(weight)) / F.sum(weight), F.lit(0.0)).alias("mean"), F.coalesce(F.sum(weight), F.lit(0)).cast("bigint").alias("weight"))
+
+
+def diagnostic_counts(results: DataFrame, lists: list[str]) -> DataFrame:
+    """One row: how many diagnostics the rows hold in each list column; null lists hold none."""
+    return results.agg(*(F.coalesce(F.sum(F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))), F.lit(0)).cast("bigint").alias(c) for c in lists))
+
+
+def objective_counts(samples: DataFrame, objective: str = "objective", tokens: str = "tokens") -> DataFrame:
+    """One row: examples and supervised tokens of the causal and of the infilling objective."""
+    of = {k: F.col(objective) == k for k in ("causal", "fim")}
+    return samples.agg(*(F.count_if(c).alias(f"{k}_examples") for k, c in of.items()), *(F.coalesce(F.sum(F.when(c, F.col(tokens))), F.lit(0)).cast("bigint").alias(f"{k}_tokens") for k, c in of.items()))
+
+
+def selected(results: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The named measures of an evaluation under their report's names."""
+    return results.select(*(F.col(c).alias(n) for n, c in names.items()))
+
+
+def not_in(part: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
+    """What keeps `part` from being a subset of `whole`; no rows: it is one."""
+    return part.select(*keys).distinct().join(whole.select(*keys).distinct(), keys, "left_anti")
+
+
+def snapshot_digest(files: DataFrame, by: list[str], max_files: int = 1_000_000) -> DataFrame:
+    """by columns, tree_sha256, file_count, total_bytes, license_sha256 of each snapshot. files: by, relative_path, size_bytes,
+    content_sha256, and target (null but for links). The digest runs over the entries in order of their paths, so a
+    snapshot is one task's work; more than max_files of one are an error. tree_digest has no such bound."""
+    regular = F.concat(F.lit("regular\u0000"), "relative_path", F.lit("\u0000"), F.col("size_bytes").cast("string"), F.lit("\u0000"), "content_sha256", F.lit("\n"))
+    link = F.concat(F.lit("symlink\u0000"), "relative_path", F.lit("\u0000"), "target", F.lit("\n"))
+    is_license = F.lower(F.regexp_extract("relative_path", r"([^/]*)\z", 1)).rlike("^(?:license|copying)") & F.col("target").isNull()
+    rows = files.select(*by, F.struct("relative_path", F.coalesce(link, regular).alias("line")).alias("e"), F.coalesce(F.octet_length("target").cast("bigint"), F.col("size_bytes")).alias("b"), F.when(is_license, F.struct("relative_path", "content_sha256")).alias("l"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    ok = rows.join(sizes, by).withColumn("e", F.when(F.col("n") > max_files, F.raise_error(F.lit("a snapshot has more than max_files files")).cast(rows.schema["e"].dataType)).otherwise(F.col("e")))
+    return ok.groupBy(*by).agg(
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x.line), ""), 256).alias("tree_sha256"), F.count("*").alias("file_count"), F.sum("b").alias("total_bytes"),
+        F.map_from_entries(F.array_sort(F.collect_list("l"))).alias("license_sha256"),
+    )
+
+
 def repository_parts(files: DataFrame) -> DataFrame:
     """repository_id, relative_path, part: each file between its marks. In order of the path the parts, between <repo> and
     </repo>, are the repository's text; kept apart they have no bound to mind. Paths that climb out are an error."""

@@ -15,7 +15,9 @@ from lodestrand.operators.nextfit import next_fit_plan
 
 #: The marks of infilling and of repository texts.
 FIM = ("<fim_prefix>", "<fim_suffix>", "<fim_middle>")
-SPECIAL = ("<pad>", "<bos>", "<eos>", "<unk>", *FIM, "<repo>", "<file>")
+SPECIAL = (
+    "<pad>", "<bos>", "<eos>", "<unk>", "<repo>", "</repo>", "<file>", "</file>", *FIM, "<diagnostic>", "</diagnostic>", "<test>", "</test>", "<patch>", "</patch>",
+)
 
 
 def code_points(text: Column) -> Column:
@@ -23,6 +25,13 @@ def code_points(text: Column) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.ascii(c))
 
 
+def byte_ids(text: Column, vocabulary: int) -> Column:
+    """Ids where there is no tokenizer: the UTF-8 bytes modulo the vocabulary's size."""
+    pairs = F.hex(F.encode(text, "utf-8"))
+    each = F.transform(F.sequence(F.lit(1), F.length(pairs), F.lit(2)), lambda i: F.conv(F.substring(pairs, i, F.lit(2)), 16, 10).cast("int") % vocabulary)
+    return F.when(F.length(pairs) > 0, each).otherwise(F.array().cast("array<int>"))
+
+
 def encode(df: DataFrame, text: str, out: str, encoder: Callable[[str], list[int]]) -> DataFrame:
     """Ids of a text column by any encoder, in Arrow batches; [] for null."""
 

@@ -18,6 +18,10 @@ def split_of(text: str) -> str:
     return f"CASE WHEN {d} < 0.9 THEN 'train' WHEN {d} < 0.95 THEN 'validation' ELSE 'test' END"
 
 
+#: The receipts, and each with one value changed, so that every rule has rows that break it.
+RECEIPTS = """(SELECT * FROM receipts UNION ALL SELECT * REPLACE (2 AS schema_version, source_id || ' ' AS source_id, upper(commit_sha) AS commit_sha) FROM receipts
+  UNION ALL SELECT * REPLACE (substr(tree_sha256, 2) AS tree_sha256, -1 AS file_count, 10737418241 AS total_bytes) FROM receipts
+  UNION ALL SELECT * REPLACE (' ' AS git_version, source_uri || '.git' AS source_uri, replace(retrieved_at, 'Z', '+00:00') AS retrieved_at, MAP {'LICENSE': 'none'} AS license_sha256) FROM receipts)"""
 RECORDS = "(SELECT DISTINCT * FROM file_records)"
 KEY = "lower(trim({}))"
 MARKERS = ("@generated", "auto-generated", "automatically generated", "do not edit", "generated by")
@@ -56,7 +60,7 @@ SAFE = f"""CASE WHEN {SCHEME} = '' THEN {BARE} WHEN regexp_extract({REST}, '^//(
 
 def oracle_sql() -> dict[str, str]:
     documents = "(SELECT * FROM documents WHERE text IS NOT NULL)"
-    return {
+    plain = {
         "corpus_overview": f"""WITH rows AS (SELECT doc_id, source, sha256({NORMAL}) AS cluster FROM {documents} WHERE len({quality(1_000_000)}) + len({GENERATED}) = 0),
           kept AS (SELECT cluster, arg_min_null(source, doc_id) AS source FROM rows GROUP BY cluster)
           SELECT {split_of('cluster')} AS split, coalesce(source, 'none') AS source, count(*) AS documents FROM kept GROUP BY 1, 2""",
@@ -150,7 +154,7 @@ def oracle_sql() -> dict[str, str]:
           t AS (SELECT *, bool_or(s = 'test') OVER () AS has_t, max(CASE WHEN rank = n - 1 THEN s END) OVER () AS before_last FROM v)
           SELECT repository_id, family, weight::BIGINT AS weight, CASE WHEN n <= 3 THEN (CASE rank WHEN 1 THEN 'train' WHEN 2 THEN 'validation' ELSE 'test' END) WHEN NOT has_t AND rank = CASE WHEN before_last = 'train' THEN n - 1 ELSE n END THEN 'test' ELSE s END AS split FROM fam JOIN t USING (family)""",
         "approval_violations": f"""SELECT violation, count(*) AS records FROM (SELECT unnest(list_filter([
-            CASE WHEN NOT coalesce(regexp_matches(source_id, '^[a-z0-9][a-z0-9._-]{{0,127}}$'), false) THEN 'source-id' END, CASE WHEN NOT coalesce({SAFE} = source_uri, false) THEN 'unsafe-uri' END,
+            CASE WHEN NOT coalesce(regexp_matches(source_id, '^[A-Za-z0-9][A-Za-z0-9_.-]{{0,127}}$'), false) THEN 'source-id' END, CASE WHEN NOT coalesce({SAFE} = source_uri, false) THEN 'unsafe-uri' END,
             CASE WHEN NOT coalesce(regexp_matches(source_uri, '^[A-Za-z][A-Za-z0-9+.-]*:'), false) THEN 'no-scheme' END, CASE WHEN NOT coalesce(commit_sha = 'fixture' OR regexp_matches(commit_sha, '^[0-9a-f]{{40}}$'), false) THEN 'commit' END,
             CASE WHEN NOT coalesce(license_spdx IN ('MIT', 'Apache-2.0', 'BSD-2-Clause', 'BSD-3-Clause', 'ISC', '0BSD', 'CC0-1.0', 'Unlicense'), false) THEN 'license' END,
             CASE WHEN NOT coalesce(status IN ('approved', 'review', 'rejected', 'removed'), false) THEN 'status' END,
@@ -158,9 +162,80 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN len(list_filter(scope, lambda s: s <> 'typescript-source' AND (NOT regexp_matches(s, '^(?:include|exclude):[^\\x00\\\\]+$') OR regexp_matches(s, '^\\w+:/') OR regexp_matches(s, '(?:^\\w+:|/)\\.\\.(?:/|$)')))) > 0 THEN 'scope' END,
             CASE WHEN NOT coalesce(approval_id = sha256(source_id || chr(0) || source_uri || chr(0) || commit_sha || chr(0) || license_spdx || chr(0) || status || chr(0) || approved_at), false) THEN 'approval-id' END,
             CASE WHEN supersedes = approval_id THEN 'supersedes-itself' END], lambda x: x IS NOT NULL)) AS violation FROM approvals) GROUP BY 1""",
-        "receipt_violations": """SELECT violation, count(*) AS records FROM (SELECT unnest(list_filter([
-            CASE WHEN coalesce(schema_version <> 1, true) THEN 'schema-version' END, CASE WHEN NOT coalesce(regexp_matches(source_id, '^[a-z0-9][a-z0-9._-]{0,127}$'), false) THEN 'source-id' END, CASE WHEN NOT coalesce(regexp_matches(commit_sha, '^[0-9a-f]{40}$'), false) THEN 'commit' END,
-            CASE WHEN NOT coalesce(regexp_matches(tree_sha256, '^[0-9a-f]{64}$'), false) THEN 'tree' END, CASE WHEN coalesce(file_count < 0, true) THEN 'file-count' END, CASE WHEN coalesce(total_bytes < 0, true) THEN 'total-bytes' END,
-            CASE WHEN NOT coalesce(regexp_matches(retrieved_at, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(?:\\.\\d{1,6})?(?:Z|\\+00:00)$'), false) THEN 'retrieved-at' END, CASE WHEN coalesce(cardinality(license_sha256), 0) = 0 THEN 'no-license' END,
-            CASE WHEN len(list_filter(map_values(license_sha256), lambda v: NOT regexp_matches(v, '^[0-9a-f]{64}$'))) > 0 THEN 'license-digest' END], lambda x: x IS NOT NULL)) AS violation FROM receipts) GROUP BY 1""",
+        "receipt_violations": f"""SELECT violation, count(*) AS records FROM (SELECT unnest(list_filter([
+            CASE WHEN coalesce(schema_version <> 1, true) THEN 'schema-version' END, CASE WHEN NOT coalesce(regexp_full_match(source_id, '[A-Za-z0-9][A-Za-z0-9_.-]{{0,127}}'), false) THEN 'source-id' END, CASE WHEN NOT coalesce(regexp_full_match(commit_sha, '[0-9a-f]{{40}}'), false) THEN 'commit' END,
+            CASE WHEN NOT coalesce(regexp_full_match(tree_sha256, '[0-9a-f]{{64}}'), false) THEN 'tree' END, CASE WHEN NOT coalesce(file_count BETWEEN 0 AND 1000000, false) THEN 'file-count' END, CASE WHEN NOT coalesce(total_bytes BETWEEN 0 AND 10737418240, false) THEN 'total-bytes' END,
+            CASE WHEN coalesce(trim(git_version), '') = '' THEN 'git-version' END,
+            CASE WHEN NOT coalesce(regexp_full_match(source_uri, 'https://github\\.com/[A-Za-z0-9][A-Za-z0-9-]{{0,38}}/[A-Za-z0-9][A-Za-z0-9._-]{{0,99}}') AND NOT suffix(source_uri, '.git'), false) THEN 'source-uri' END,
+            CASE WHEN NOT coalesce(regexp_full_match(retrieved_at, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}(?:\\.\\d{{1,6}})?Z') AND try_cast(retrieved_at AS TIMESTAMPTZ) IS NOT NULL, false) THEN 'retrieved-at' END,
+            CASE WHEN license_sha256 IS NULL OR len(list_filter(map_values(license_sha256), lambda v: v IS NULL OR NOT regexp_full_match(v, '[0-9a-f]{{64}}'))) > 0 THEN 'license-digest' END], lambda x: x IS NOT NULL)) AS violation FROM {RECEIPTS}) GROUP BY 1""",
+    }
+    return plain | corpus_sql(plain, documents) | small_sql(documents)
+
+
+def secret_categories() -> str:
+    from lodestrand.functions import secrets
+
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    forms = ", ".join(f"CASE WHEN regexp_matches(text, {quote(p)}) THEN '{name}' END" for p, name in secrets.FORMS)
+    named = f"CASE WHEN len(list_filter(regexp_extract_all(text, {quote(secrets.NAMED)}, 1), lambda v: NOT regexp_matches(v, {quote(secrets.HARMLESS)}) AND len(list_distinct(string_split(v, ''))) >= 6)) > 0 THEN 'named-literal' END"
+    return f"list_sort(list_distinct(list_filter([{forms}, {named}], lambda x: x IS NOT NULL)))"
+
+
+def license_by_repository(files: str) -> str:
+    return f"""(SELECT repository_id, CASE WHEN n = 1 THEN names[1] WHEN n > 1 THEN 'CONFLICTING' ELSE 'NOASSERTION' END AS spdx,
+      CASE WHEN n = 1 AND names[1] IN ('MIT', 'Apache-2.0', 'BSD-2-Clause', 'BSD-3-Clause', 'ISC', '0BSD', 'CC0-1.0', 'Unlicense') THEN 'accepted' ELSE 'review' END AS status, coalesce(evidence, 'no-license-file') AS evidence
+      FROM (SELECT repository_id, len(names) AS n, names, evidence FROM (SELECT DISTINCT repository_id FROM {files}) LEFT JOIN (SELECT repository_id, list(DISTINCT spdx) AS names, array_to_string(list_sort(list(DISTINCT relative_path)), ',') AS evidence
+        FROM (SELECT repository_id, relative_path, {license_case()} AS spdx FROM {files} WHERE regexp_matches(lower(relative_path), '^(?:license|copying)[^/]*$')) GROUP BY 1) USING (repository_id)))"""
+
+
+def corpus_sql(plain: dict[str, str], documents: str) -> dict[str, str]:
+    """The records of the build, put together from the queries of its parts."""
+    part = lambda name: f"({plain[name].replace(documents, 'f')})"
+    licences = license_by_repository("f")
+    return {"corpus_records": f"""WITH f AS (SELECT doc_id, lower(trim(repository_id)) AS repository_id, relative_path, coalesce(text, '') AS whole, CASE WHEN strlen(coalesce(text, '')) > 100000 THEN '' ELSE coalesce(text, '') END AS text FROM documents WHERE repository_id IS NOT NULL AND relative_path IS NOT NULL),
+      h AS (SELECT doc_id, repository_id, sha256(CASE WHEN strlen(whole) > 100000 THEN encode(whole)[1:100000] ELSE encode(whole) END) AS content_sha256, strlen(whole)::BIGINT AS size_bytes, strlen(whole) > 100000 AS oversized FROM f),
+      s AS (SELECT doc_id, {secret_categories()} AS found, {quality(1_000_000)} AS quality, len({LINES}) AS n_lines, len(list_distinct({LINES}))::DOUBLE AS n_distinct FROM f),
+      r AS (SELECT *, list_sort(list_distinct(list_concat(list_filter([CASE WHEN p.rejection <> '' THEN p.rejection END, CASE WHEN regexp_matches(f.relative_path, '/__snapshots__/') THEN 'outside-approved-scope' END, CASE WHEN oversized THEN 'oversized' END,
+          CASE WHEN len(list_filter(string_split(f.relative_path, '/'), lambda x: x NOT IN ('', '.'))) > 12 THEN 'path-depth-limit' END, CASE WHEN p.language NOT IN ('typescript', 'metadata') THEN p.language END,
+          CASE WHEN l.status <> 'accepted' THEN 'license:' || l.status END], lambda x: x IS NOT NULL), list_filter(string_split(g.reasons || ',' || w.reasons, ','), lambda x: x <> ''), list_transform(s.found, lambda x: 'secret:' || x), s.quality))) AS why
+        FROM f JOIN h USING (doc_id) JOIN s USING (doc_id) JOIN {part("path_filters")} p USING (doc_id) JOIN {part("generated_status")} g USING (doc_id) JOIN {part("harness_filter")} w USING (doc_id) JOIN {part("normalized_hash")} n USING (doc_id) JOIN {licences} l ON l.repository_id = f.repository_id)
+      SELECT DISTINCT sha256(repository_id || chr(0) || relative_path || chr(0) || content_sha256) AS record_id, spdx AS license_spdx, status AS license_status,
+        CASE WHEN {SUFFIX} IN ('.ts', '.tsx') THEN 'typescript' WHEN {NAME} IN ('package.json', 'tsconfig.json') THEN 'metadata' ELSE 'other' END AS language, source_type, size_bytes, CASE WHEN text = '' THEN 0 ELSE n_lines END::INT AS line_count,
+        CASE WHEN oversized THEN 'prefix' ELSE 'full' END AS content_hash_scope, normalized_sha256, round(greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.25::DOUBLE * len(quality) - 0.3::DOUBLE * (1 - n_distinct / n_lines)), 6) AS quality_score,
+        CASE WHEN len(found) > 0 THEN 'rejected' ELSE 'clean' END AS secret_scan_status, CASE WHEN reasons <> '' THEN 'generated' ELSE 'human' END AS generated_status, len(why) = 0 AS included, array_to_string(why, ',') AS exclusion_reasons FROM r"""}
+
+
+def small_sql(documents: str) -> dict[str, str]:
+    github = "'https://github\\.com/[A-Za-z0-9][A-Za-z0-9-]{0,38}/[A-Za-z0-9][A-Za-z0-9._-]{0,99}'"
+    addressed = lambda c: f"(regexp_full_match({c}, {github}) AND NOT suffix({c}, '.git'))"
+    fim = f"({draw("'objective:42:' || record_id")} < 0.5)"
+    licensed = f"(SELECT lower(trim(repository_id)) AS repository_id, CASE WHEN regexp_matches(relative_path, '(?i)[.]md$') THEN 'LICENSE-' || doc_id ELSE relative_path END AS relative_path, text FROM {documents} WHERE repository_id IS NOT NULL AND relative_path IS NOT NULL)"
+    parts = "list_filter(string_split(relative_path, '/'), lambda x: x NOT IN ('', '.'))"
+    return {
+        "secret_findings": f"SELECT doc_id, array_to_string(c, ',') AS categories, len(c) > 0 AS contains_secret FROM (SELECT doc_id, {secret_categories()} AS c FROM {documents})",
+        "repository_licenses": f"SELECT * FROM {license_by_repository(licensed)}",
+        "canonical_addresses": f"SELECT DISTINCT source_uri, {addressed('source_uri')} AS canonical, {addressed("regexp_replace(source_uri, '[.]git$', '')")} AS canonical_without_git FROM file_records WHERE source_uri IS NOT NULL",
+        "tree_entries": f"""WITH p AS (SELECT DISTINCT relative_path FROM file_records), a AS (SELECT relative_path FROM p UNION ALL SELECT '/' || relative_path FROM p UNION ALL SELECT 'a/../' || relative_path FROM p)
+          SELECT relative_path, array_to_string(list_filter([CASE WHEN relative_path IS NULL OR relative_path = '' OR starts_with(relative_path, '/') OR contains(relative_path, chr(92)) OR contains(relative_path, chr(0)) OR list_contains({parts}, '..') OR len({parts}) > 4 THEN 'unsafe-path' END,
+            CASE WHEN starts_with(relative_path, 'test') THEN 'mode' END], lambda x: x IS NOT NULL), ',') AS violations FROM a""",
+        "cursor_checks": """SELECT DISTINCT run_name, step, array_to_string(list_filter([CASE WHEN step % 5 - 1 < 0 THEN 'epoch' END, CASE WHEN step % 3 < 0 THEN 'shard_index' END, CASE WHEN step - 3 < 0 THEN 'record_offset' END,
+            CASE WHEN step % 4 >= 3 THEN 'rank-of-world' END], lambda x: x IS NOT NULL), ',') AS violations, step - 2 AS next_record FROM training_metrics WHERE step IS NOT NULL""",
+        "shard_totals": "SELECT count(*) AS shards, sum(records)::BIGINT AS records, CASE WHEN count(*) = count(tokens) THEN sum(tokens)::BIGINT END AS tokens FROM (SELECT source, count(*) AS records, CASE WHEN count(*) = count(n_chars) THEN sum(n_chars)::BIGINT END AS tokens FROM documents GROUP BY 1)",
+        "perplexity": "SELECT DISTINCT loss, round(exp(least(loss, 80.0)), 6) AS perplexity FROM training_metrics WHERE loss IS NOT NULL",
+        "step_horizon": "SELECT DISTINCT tokens_processed, ceil(tokens_processed / 4096)::BIGINT AS steps FROM training_metrics WHERE tokens_processed IS NOT NULL",
+        "batches": "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id % 64 ORDER BY doc_id) - 1) // 32 AS batch_no FROM documents",
+        "epochs": "SELECT e.e::INT AS epoch, id FROM completion_tasks, (SELECT unnest([0, 1, 2]) AS e) e",
+        "resume": "SELECT doc_id FROM documents WHERE doc_id // 100 > 3 OR (doc_id // 100 = 3 AND doc_id % 100 >= 41)",
+        "supervised_tokens": "SELECT id, len(list_filter(list_transform(string_split(prompt, ''), lambda c: unicode(c))[2:], lambda x: x <> -100 AND x <> 32))::INT AS supervised FROM completion_tasks",
+        "infilling_prompts": "SELECT id, sha256('<fim_prefix>' || prefix || '<fim_suffix>' || suffix || '<fim_middle>') AS prompt_sha256 FROM fim_tasks",
+        "byte_tokens": "SELECT id, array_to_string(list_transform(range(1, 2 * strlen(prompt), 2), lambda i: ('0x' || substr(hex(encode(prompt)), i, 2))::INT % 200), ',') AS ids FROM completion_tasks",
+        "objective_counts": f"SELECT count(*) FILTER (WHERE NOT f) AS causal_examples, count(*) FILTER (WHERE f) AS fim_examples, coalesce(sum(length(text)) FILTER (WHERE NOT f), 0)::BIGINT AS causal_tokens, coalesce(sum(length(text)) FILTER (WHERE f), 0)::BIGINT AS fim_tokens FROM (SELECT text, {fim} AS f FROM {documents} WHERE record_id IS NOT NULL)",
+        "diagnostic_counts": f"SELECT coalesce(sum(len(exclusion_reasons)), 0)::BIGINT AS exclusion_reasons FROM {RECORDS}",
+        "unapproved_sources": "SELECT DISTINCT source_id, commit_sha FROM receipts r WHERE NOT EXISTS (SELECT 1 FROM approvals a WHERE a.status = 'approved' AND a.source_id = r.source_id AND a.commit_sha = r.commit_sha)",
+        "included_documents": f"SELECT record_id, count(*) AS rows FROM {RECORDS} WHERE included AND split = 'train' GROUP BY 1",
+        "owned_records": "SELECT doc_id FROM documents WHERE record_id IS NOT NULL AND ('0x' || substr(sha256(record_id), 1, 16))::UHUGEINT % 5 = 2",
+        "snapshot_digests": f"""WITH f AS (SELECT lower(trim(repository_id)) AS repository_id, relative_path, min(size_bytes) AS b, min(content_sha256) AS c FROM {RECORDS} WHERE repository_id IS NOT NULL AND relative_path IS NOT NULL AND content_sha256 IS NOT NULL AND size_bytes IS NOT NULL GROUP BY 1, 2)
+          SELECT repository_id, sha256(string_agg('regular' || chr(0) || relative_path || chr(0) || b || chr(0) || c || chr(10), '' ORDER BY relative_path)) AS tree_sha256, count(*) AS file_count, sum(b)::BIGINT AS total_bytes,
+            count(*) FILTER (WHERE regexp_matches(lower({NAME}), '^(?:license|copying)'))::INT AS licenses FROM f GROUP BY 1""",
     }

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.functions import model, paths
+from lodestrand.functions import model, paths, secrets
 from lodestrand.functions import text as T
-from lodestrand.operators import contamination, dedup, governance, reports, sequences, splits, tokenizers
-from lodestrand.session import cut
+from lodestrand.operators import checks, contamination, dedup, governance, reports, sequences, splits, tokenizers
+from lodestrand.plans import corpus
+from lodestrand.session import cut, spread
 from lodestrand.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null")
+    return documents(spark, sf_dir).where("text is not null")
 
 
 def once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +49,161 @@ def corpus_overview(spark, sf_dir):
     return kept.groupBy(T.split_of(F.col("cluster")).alias("split"), F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("documents"))
 
 
+def corpus_files(spark, sf_dir):
+    """The documents as files of their repositories."""
+    d = documents(spark, sf_dir).where("repository_id is not null and relative_path is not null")
+    return d.select(
+        "doc_id", F.lower(F.trim("repository_id")).alias("repository_id"), F.concat(F.lit("https://github.com/corpus/"), F.lower(F.trim("repository_id"))).alias("source_uri"), F.lit("fixture").alias("commit_sha"),
+        F.lit("2024-01-01T00:00:00Z").alias("retrieved_at"), "relative_path", "text",
+    )
+
+
+@query
+def corpus_records(spark, sf_dir):
+    """The records of the build before duplicates are marked: every reason, hash and label. Documents delivered twice are one record."""
+    rows = corpus.file_records(corpus_files(spark, sf_dir), 100_000, 12, scope=["include:*", "exclude:*/__snapshots__/*"]).dropDuplicates(["record_id"])
+    return rows.select(
+        "record_id", "license_spdx", "license_status", "language", "source_type", "size_bytes", "line_count", "content_hash_scope", "normalized_sha256", "quality_score", "secret_scan_status", "generated_status",
+        "included", F.array_join("exclusion_reasons", ",").alias("exclusion_reasons"),
+    )
+
+
+@query
+def corpus_build(spark, sf_dir):
+    """The whole build: records, duplicates, clusters and splits."""
+    return corpus.build(corpus_files(spark, sf_dir)).withColumn("exclusion_reasons", F.array_join("exclusion_reasons", ","))
+
+
+@query
+def secret_findings(spark, sf_dir):
+    found = texts(spark, sf_dir).select("doc_id", secrets.findings(F.col("relative_path"), F.col("text")).alias("f"))
+    return found.select("doc_id", F.array_join("f", ",").alias("categories"), (F.size("f") > 0).alias("contains_secret"))
+
+
+@query
+def repository_licenses(spark, sf_dir):
+    d = texts(spark, sf_dir).where("repository_id is not null and relative_path is not null")
+    # files that lie in a docs folder stand for those in the root, of which the corpus holds few
+    return governance.repository_license(d.select(F.lower(F.trim("repository_id")).alias("repository_id"), F.when(F.col("relative_path").rlike("(?i)[.]md$"), F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.col("relative_path")).alias("relative_path"), "text"))
+
+
+@query
+def canonical_addresses(spark, sf_dir):
+    uris = table(spark, sf_dir, "file_records").select("source_uri").where("source_uri is not null").distinct()
+    return uris.select("source_uri", checks.canonical_github(F.col("source_uri")).alias("canonical"), checks.canonical_github(F.regexp_replace("source_uri", "[.]git$", "")).alias("canonical_without_git"))
+
+
+@query
+def tree_entries(spark, sf_dir):
+    """Paths of the records as tree entries; modes by their first letters, so that every rule has rows that break it."""
+    p = F.col("relative_path")
+    mode = F.when(p.startswith("src"), "100644").when(p.startswith("packages"), "120000").when(p.startswith("test"), "040000").otherwise("100755")
+    rows = table(spark, sf_dir, "file_records").select("relative_path").distinct()
+    rows = rows.unionByName(rows.select(F.concat(F.lit("/"), p).alias("relative_path"))).unionByName(rows.select(F.concat(F.lit("a/../"), p).alias("relative_path")))
+    return rows.select("relative_path", F.array_join(checks.tree_entry_violations(p, mode, F.lit("blob"), max_path_depth=4), ",").alias("violations"))
+
+
+@query
+def cursor_checks(spark, sf_dir):
+    m = table(spark, sf_dir, "training_metrics").where("step is not null").select(
+        "run_name", "step", (F.col("step") % 5 - 1).alias("epoch"), (F.col("step") % 3).alias("shard_index"), (F.col("step") - 3).alias("record_offset"), F.lit(0).alias("token_offset"), (F.col("step") % 4).alias("rank"), F.lit(3).alias("world_size")
+    ).distinct()
+    return m.select("run_name", "step", F.array_join(checks.cursor_violations(), ",").alias("violations"), checks.cursor_behind(F.col("epoch"))["record_offset"].alias("next_record"))
+
+
+@query
+def shard_totals(spark, sf_dir):
+    """Sources as shards; a source with a text of unknown length has no token total, and so the whole hasn't."""
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("records"), F.when(F.count("*") == F.count("n_chars"), F.sum("n_chars")).alias("tokens"))
+    return reports.shard_totals(d)
+
+
+@query
+def perplexity(spark, sf_dir):
+    m = table(spark, sf_dir, "training_metrics").where("loss is not null").select("loss").distinct()
+    return m.select("loss", F.round(model.perplexity(F.col("loss")), 6).alias("perplexity"))
+
+
+@query
+def step_horizon(spark, sf_dir):
+    m = table(spark, sf_dir, "training_metrics").where("tokens_processed is not null").select("tokens_processed").distinct()
+    return m.select("tokens_processed", sequences.step_horizon(F.col("tokens_processed"), 4096).alias("steps"))
+
+
+@query
+def batches(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.pmod(F.col("doc_id"), F.lit(64)).alias("worker"))
+    return sequences.batches(rows, ["doc_id"], 32, ["worker"]).select("doc_id", "batch_no")
+
+
+@query
+def epochs(spark, sf_dir):
+    return sequences.epochs(table(spark, sf_dir, "completion_tasks").select("id"), 3).select("epoch", "id")
+
+
+@query
+def resume(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 100).alias("shard_index"), (F.col("doc_id") % 100).alias("record_offset"))
+    return sequences.resume(rows, 3, 41).select("doc_id")
+
+
+@query
+def supervised_tokens(spark, sf_dir):
+    t = table(spark, sf_dir, "completion_tasks").select("id", sequences.code_points(F.col("prompt")).alias("ids"))
+    return t.select("id", sequences.supervised_tokens(F.col("ids"), F.transform("ids", lambda x: (x != 32).cast("int"))).alias("supervised"))
+
+
+@query
+def infilling_prompts(spark, sf_dir):
+    return table(spark, sf_dir, "fim_tasks").select("id", F.sha2(sequences.infilling_prompt(F.col("prefix"), F.col("suffix")), 256).alias("prompt_sha256"))
+
+
+@query
+def byte_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "completion_tasks").select("id", F.array_join(sequences.byte_ids(F.col("prompt"), 200), ",").alias("ids"))
+
+
+@query
+def objective_counts(spark, sf_dir):
+    d = texts(spark, sf_dir).where("record_id is not null")
+    return reports.objective_counts(d.select(F.when(T.uses_infilling(F.col("record_id"), 42, 0.5), "fim").otherwise("causal").alias("objective"), F.length("text").alias("tokens")))
+
+
+@query
+def weighted_repetition(spark, sf_dir):
+    """The mean word repetition of sources by their documents."""
+    each = texts(spark, sf_dir).groupBy("source").agg(F.avg(F.round(T.repetition_rate(F.col("text")), 6).cast("decimal(10,6)")).cast("double").alias("repetition"), F.count("*").alias("documents"))
+    return reports.weighted_mean(each, "repetition", "documents").select(F.round("mean", 5).alias("mean"), "weight")
+
+
+@query
+def diagnostic_counts(spark, sf_dir):
+    return reports.diagnostic_counts(once(spark, sf_dir).select("exclusion_reasons"), ["exclusion_reasons"])
+
+
+@query
+def unapproved_sources(spark, sf_dir):
+    """Sources of receipts that no approval names."""
+    return reports.not_in(table(spark, sf_dir, "receipts"), table(spark, sf_dir, "approvals").where("status = 'approved'"), ["source_id", "commit_sha"])
+
+
+@query
+def included_documents(spark, sf_dir):
+    return reports.included_documents(once(spark, sf_dir), "train").groupBy("record_id").agg(F.count("*").alias("rows"))
+
+
+@query
+def owned_records(spark, sf_dir):
+    return sequences.owned(table(spark, sf_dir, "documents").where("record_id is not null"), "record_id", 2, 5).select("doc_id")
+
+
+@query
+def snapshot_digests(spark, sf_dir):
+    f = once(spark, sf_dir).where("repository_id is not null and relative_path is not null and content_sha256 is not null and size_bytes is not null")
+    f = f.groupBy(F.lower(F.trim("repository_id")).alias("repository_id"), "relative_path").agg(F.min("size_bytes").alias("size_bytes"), F.min("content_sha256").alias("content_sha256")).withColumn("target", F.lit(None).cast("string"))
+    return reports.snapshot_digest(f, ["repository_id"]).select("repository_id", "tree_sha256", "file_count", "total_bytes", F.size("license_sha256").alias("licenses"))
+
+
 @query
 def quality_metrics(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", T.quality_metrics(F.col("text")).alias("q")).select("doc_id", "q.*")
@@ -100,7 +260,7 @@ def normalized_hash(spark, sf_dir):
 
 @query
 def exact_dedup(spark, sf_dir):
-    rows = texts(spark, sf_dir).select("doc_id", T.sha256(T.normalized(F.col("text"))).alias("normalized_sha256"))
+    rows = cut(texts(spark, sf_dir).select("doc_id", T.sha256(T.normalized(F.col("text"))).alias("normalized_sha256")))
     return dedup.mark_duplicates(rows, order="doc_id").select("doc_id", "is_duplicate")
 
 
@@ -197,7 +357,13 @@ def license_disagreements(spark, sf_dir):
 
 @query
 def receipt_violations(spark, sf_dir):
-    return table(spark, sf_dir, "receipts").select(F.explode(governance.receipt_violations()).alias("violation")).groupBy("violation").agg(F.count("*").alias("records"))
+    """Of the receipts, and of each with one value of several changed, so that every rule has rows that break it."""
+    r = table(spark, sf_dir, "receipts")
+    rows = r.unionByName(r.withColumns({"schema_version": F.lit(2), "source_id": F.concat("source_id", F.lit(" ")), "commit_sha": F.upper("commit_sha")}))
+    rows = rows.unionByName(r.withColumns({"tree_sha256": F.substring("tree_sha256", 2, 64), "file_count": F.lit(-1).cast("bigint"), "total_bytes": F.lit(10_737_418_241)}))
+    none = F.create_map(F.lit("LICENSE"), F.lit("none"))
+    rows = rows.unionByName(r.withColumns({"git_version": F.lit(" "), "source_uri": F.concat("source_uri", F.lit(".git")), "retrieved_at": F.replace("retrieved_at", F.lit("Z"), F.lit("+00:00")), "license_sha256": none}))
+    return rows.select(F.explode(governance.receipt_violations()).alias("violation")).groupBy("violation").agg(F.count("*").alias("records"))
 
 
 @query

@@ -22,6 +22,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where a scan has fewer partitions than there are cores, as one file of one row group has; else
+    as they are. The rows stay the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """The same rows with their lineage cut, stored where a lost executor doesn't matter."""
     checkpoint_dir(df.sparkSession)

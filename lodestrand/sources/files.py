@@ -50,6 +50,11 @@ def strict_json_lines(spark: SparkSession, path: str, schema: StructType) -> Dat
     return rows.select(ok.alias("r")).select("r.*")
 
 
+def token_shard(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Token records of a shard, each line by the schema or an error."""
+    return spark.read.schema(schema).json(path, mode="FAILFAST")
+
+
 def shard_lines(spark: SparkSession, path: str, schema: StructType, max_line_bytes: int = 16_777_216) -> DataFrame:
     """shard, record_offset, record_id and the parsed line. Offsets count a file's lines, so every file is one partition's
     work; files are shards of bounded size (see sinks.write_shards)."""

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.operators.reports import build_summary
+
 
 def canonical(df: DataFrame) -> DataFrame:
     """One JSON text per row with sorted keys, also inside structs."""
@@ -72,7 +74,9 @@ def stale_shards(index: DataFrame, found: DataFrame) -> DataFrame:
 def append_ledger(rows: DataFrame, path: str, key: str) -> None:
     """Appends rows to a JSON-lines ledger; ids that exist already are an error."""
     spark = rows.sparkSession
-    if os.path.exists(path) and any(Path(path).iterdir()):
+    # asked of the file system the path is on, which may be any
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         seen = spark.read.schema(rows.schema).json(path).select(key)
         if not rows.join(seen, key, "left_semi").isEmpty():
             raise ValueError(f"{key} exists already; append a distinct decision")
@@ -81,6 +85,25 @@ def append_ledger(rows: DataFrame, path: str, key: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def write_token_shard(rows: DataFrame, path: str) -> None:
+    """Token records as JSON lines."""
+    rows.write.mode("errorifexists").json(path)
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Metric lines with their utilisation, added behind those there are."""
+    used = F.when(F.col("padded_tokens") > 0, F.col("batch_tokens") / F.col("padded_tokens")).otherwise(F.lit(0.0))
+    rows.withColumn("token_utilization", used).write.mode("append").json(path)
+
+
+def write_build(records: DataFrame, texts: DataFrame, folder: str, dry_run: bool = False, replace: bool = False) -> DataFrame:
+    """Manifest and included documents of a build below a folder, unless it is a dry run; its summary either way."""
+    if not dry_run:
+        write_manifest(records, f"{folder}/manifest", replace)
+        write_documents(records.join(texts, "record_id", "left"), f"{folder}/documents", replace=replace)
+    return build_summary(records)
+
+
 def write_report(value: dict, path: str) -> str:
     """A small JSON report, moved in place at once; its sha256."""
     data = json.dumps(value, sort_keys=True, separators=(",", ":")).encode()
