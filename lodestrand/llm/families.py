@@ -7,9 +7,9 @@ large-star and small-star steps, each cut by a checkpoint, until no edge changes
 
 Method of the split: largest differencing. The components' weights are combined into many equal bins by
 repeatedly joining the two partitions of the largest spread, the heaviest bins of one with the lightest of
-the other; whole bins are then dealt to the splits in the target shares. Components below a fixed share of
-the whole are first gathered by hash into pseudo-components of bounded number, so the driver sees at most
-`heavy + groups` weights, whatever the corpus holds, and every component stays whole.
+the other; whole bins are then dealt to the splits in the target shares. Components are told apart by their
+weight alone, so the driver sees how many there are of each weight, whatever the corpus holds, and every component
+stays whole.
 
 Defined results: a document without repository and cluster is its own component; null documents' texts
 don't matter; repeated rows weigh as often as they occur; ties go to the smaller name; shares are taken
@@ -21,7 +21,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.operators.components import connected
@@ -115,25 +115,46 @@ def deal(sums: list[int], shares: list[tuple[str, float]]) -> list[str]:
     return out
 
 
-def assign_splits(spark: SparkSession, documents: DataFrame, targets: DataFrame, bins: int = 100, heavy_share: float = 1e-4, groups: int = 4096) -> DataFrame:
-    """doc_id, component, split: the new split of every document; a component lies in one split."""
+def positions(weights: DataFrame, buckets: int = 4096) -> DataFrame:
+    """Adds position: each component's number among those of its weight, from 0. Numbers come from counts of hash buckets and
+    ranks inside them, so no task sorts all components of a weight."""
+    rows = weights.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    running = Window.partitionBy("weight").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("weight", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n")
+    rank = F.row_number().over(Window.partitionBy("weight", "bucket").orderBy("component")) - 1
+    return rows.withColumn("rank", rank).join(before, ["weight", "bucket"]).select("component", "weight", (F.col("before") + F.col("rank")).alias("position"))
+
+
+def assign_splits(spark: SparkSession, documents: DataFrame, targets: DataFrame, bins: int = 100) -> DataFrame:
+    """doc_id, component, split: the new split of every document; a component lies in one split.
+
+    Of every weight, as many components as fill all bins alike are dealt round; so are they by differencing, which combines
+    `bins` equal weights without a difference. The driver gets how many components have each weight (at most the square root of
+    twice the documents many), and differences what is left, under `bins` components of each weight."""
     shares = sorted((r["split"], float(r["share"])) for r in targets.select("split", "share").dropna().collect() if r["share"] > 0)
     placed = cut(document_components(documents))
     weights = cut(placed.groupBy("component").agg(F.count("*").alias("weight")))
-    total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("t")).first()["t"]
-    light = F.concat(F.lit("g:"), F.pmod(F.xxhash64("component"), F.lit(groups)).cast("string"))
-    # fewer than 1 / heavy_share components can be heavy, so what comes to the driver is bounded
-    bundle = F.when(F.col("weight") > heavy_share * total, F.col("component")).otherwise(light)
-    bundles = weights.withColumn("bundle", bundle)
-    rows = sorted((r["bundle"], r["w"]) for r in bundles.groupBy("bundle").agg(F.sum("weight").alias("w")).collect())
-    if not rows or not shares:
+    counts = sorted((r["weight"], r["count"]) for r in weights.groupBy("weight").count().collect())
+    if not counts or not shares:
         return placed.select("doc_id", "component", F.lit(None).cast("string").alias("split"))
-    chosen = largest_differencing([w for _, w in rows], bins)
-    sums = np.bincount(chosen, weights=[w for _, w in rows], minlength=bins).astype(int).tolist()
+    left = [(w, k) for w, n in counts for k in range(n % bins)]
+    chosen = largest_differencing([w for w, _ in left], bins)
+    sums = np.bincount(chosen, weights=[w for w, _ in left], minlength=bins).astype(int) if left else np.zeros(bins, int)
+    sums = (sums + sum(w * (n // bins) for w, n in counts)).tolist()
     split = deal(sums, shares)
-    dealt = spark.createDataFrame([(b, split[k]) for (b, _), k in zip(rows, chosen)], "bundle string, split string")
-    named = bundles.join(F.broadcast(dealt), "bundle").select("component", "split")
-    return placed.join(named, "component").select("doc_id", "component", "split")
+    rest: dict[int, list[str]] = {w: [] for w, _ in counts}
+    for (w, _), k in zip(left, chosen):
+        rest[w].append(split[k])
+    # one row for each weight
+    dealt = spark.createDataFrame([(w, n - n % bins, rest[w]) for w, n in counts], "weight bigint, level bigint, others array<string>")
+    all_bins = F.array(*map(F.lit, split))
+    which = F.when(F.col("position") < F.col("level"), F.element_at(all_bins, (F.col("position") % bins + 1).cast("int"))).otherwise(F.try_element_at("others", (F.col("position") - F.col("level") + 1).cast("int")))
+    named = cut(positions(weights).join(F.broadcast(dealt), "weight").select("component", "weight", which.alias("split")))
+    # fewer than a thousand components hold more than a thousandth of all documents each; they are broadcast, so none is a hot key
+    heavy = F.col("weight") * 1000 > sum(w * n for w, n in counts)
+    first = placed.join(F.broadcast(named.where(heavy).select("component", F.col("split").alias("heavy"))), "component", "left")
+    others = first.where("heavy is null").drop("heavy").join(named.where(~heavy).select("component", "split"), "component")
+    return first.where("heavy is not null").withColumnRenamed("heavy", "split").select("doc_id", "component", "split").unionByName(others.select("doc_id", "component", "split"))
 
 
 def split_shares(assigned: DataFrame) -> DataFrame:

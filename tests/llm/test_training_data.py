@@ -525,3 +525,17 @@ def test_faults_at_the_end_of_long_chains_and_deep_nesting():
     assert syntax.fault_of(ternary + "0;", "a.ts") is None and syntax.fault_of(ternary + "(0 1);", "a.ts")
     deep = "x = " + "(" * 3000 + "1" + ")" * 3000
     assert syntax.fault_of(deep, "a.py") is None and syntax.fault_of(deep.replace("1", "1 2"), "a.py")
+
+
+def test_splits_of_many_equal_and_one_hot_family(spark):
+    rows = [{"doc_id": i, "repository_id": "hot"} for i in range(300)] + [{"doc_id": 1000 + i} for i in range(450)] + [{"doc_id": 2000 + i, "repository_id": f"r{i // 3}"} for i in range(240)]
+    d = documents(spark, *rows)
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, share double")
+    found = families.assign_splits(spark, d, targets).collect()
+    assert len(found) == len(rows) and len({x.doc_id for x in found}) == len(rows)
+    by = {}
+    for x in found:
+        by.setdefault(x.component, set()).add(x.split)
+    assert all(len(v) == 1 for v in by.values())
+    share = {s: sum(x.split == s for x in found) / len(found) for s in ("train", "validation", "test")}
+    assert abs(share["train"] - 0.8) < 0.02 and abs(share["test"] - 0.1) < 0.02
