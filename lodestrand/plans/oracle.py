@@ -170,7 +170,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN NOT coalesce(regexp_full_match(retrieved_at, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}(?:\\.\\d{{1,6}})?Z') AND try_cast(retrieved_at AS TIMESTAMPTZ) IS NOT NULL, false) THEN 'retrieved-at' END,
             CASE WHEN license_sha256 IS NULL OR len(list_filter(map_values(license_sha256), lambda v: v IS NULL OR NOT regexp_full_match(v, '[0-9a-f]{{64}}'))) > 0 THEN 'license-digest' END], lambda x: x IS NOT NULL)) AS violation FROM {RECEIPTS}) GROUP BY 1""",
     }
-    return plain | corpus_sql(plain, documents) | small_sql(documents)
+    return plain | corpus_sql(plain, documents) | clusters_sql(documents) | small_sql(documents)
 
 
 def secret_categories() -> str:
@@ -193,7 +193,9 @@ def corpus_sql(plain: dict[str, str], documents: str) -> dict[str, str]:
     """The records of the build, put together from the queries of its parts."""
     part = lambda name: f"({plain[name].replace(documents, 'f')})"
     licences = license_by_repository("f")
-    return {"corpus_records": f"""WITH f AS (SELECT doc_id, lower(trim(repository_id)) AS repository_id, relative_path, coalesce(text, '') AS whole, CASE WHEN strlen(coalesce(text, '')) > 100000 THEN '' ELSE coalesce(text, '') END AS text FROM documents WHERE repository_id IS NOT NULL AND relative_path IS NOT NULL),
+    return {"corpus_records": f"""WITH a AS (SELECT doc_id, lower(trim(repository_id)) AS repository_id, relative_path, coalesce(text, '') AS whole FROM documents WHERE repository_id IS NOT NULL AND relative_path IS NOT NULL),
+      b AS (SELECT * FROM a UNION ALL SELECT -row_number() OVER (ORDER BY repository_id), repository_id, 'LICENSE', CASE WHEN substr(sha256(repository_id), 1, 1) > '2' THEN 'Permission is hereby granted, free of charge, to any person' ELSE 'All rights reserved.' END FROM (SELECT DISTINCT repository_id FROM a)),
+      f AS (SELECT *, CASE WHEN strlen(whole) > 100000 THEN '' ELSE whole END AS text FROM b),
       h AS (SELECT doc_id, repository_id, sha256(CASE WHEN strlen(whole) > 100000 THEN encode(whole)[1:100000] ELSE encode(whole) END) AS content_sha256, strlen(whole)::BIGINT AS size_bytes, strlen(whole) > 100000 AS oversized FROM f),
       s AS (SELECT doc_id, {secret_categories()} AS found, {quality(1_000_000)} AS quality, len({LINES}) AS n_lines, len(list_distinct({LINES}))::DOUBLE AS n_distinct FROM f),
       r AS (SELECT *, list_sort(list_distinct(list_concat(list_filter([CASE WHEN p.rejection <> '' THEN p.rejection END, CASE WHEN regexp_matches(f.relative_path, '/__snapshots__/') THEN 'outside-approved-scope' END, CASE WHEN oversized THEN 'oversized' END,
@@ -206,6 +208,23 @@ def corpus_sql(plain: dict[str, str], documents: str) -> dict[str, str]:
         CASE WHEN len(found) > 0 THEN 'rejected' ELSE 'clean' END AS secret_scan_status, CASE WHEN reasons <> '' THEN 'generated' ELSE 'human' END AS generated_status, len(why) = 0 AS included, array_to_string(why, ',') AS exclusion_reasons FROM r"""}
 
 
+def clusters_sql(documents: str) -> dict[str, str]:
+    """The scan in order of the records, one step for each: which earlier ones lead is a list that grows."""
+    token = "[A-Za-z_$][\\p{L}\\p{N}_$]*|[^\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+    return {"leader_clusters": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY rid)::INT AS rn, * FROM (SELECT sha256(concat_ws(':', record_id, doc_id)) AS rid, {NORMAL} AS n, coalesce(split, '') <> 'excluded' AS included FROM {documents})),
+      c AS (SELECT n, min(rn) AS id, regexp_extract_all(n, '{token}') AS t FROM d GROUP BY n),
+      s AS (SELECT DISTINCT id, hash(array_to_string(t[i:i + 4], chr(31))) AS h FROM (SELECT id, t, unnest(range(1, greatest(2, len(t) - 3))) AS i FROM c)),
+      z AS (SELECT id, count(*) AS k FROM s GROUP BY id),
+      p AS (SELECT a.id AS x, b.id AS y FROM s a JOIN s b ON a.h = b.h AND a.id <> b.id JOIN z u ON u.id = a.id JOIN z v ON v.id = b.id WHERE least(u.k, v.k) >= 0.85 * greatest(u.k, v.k) GROUP BY a.id, b.id, u.k, v.k HAVING count(*)::DOUBLE / (u.k + v.k - count(*)) >= 0.85),
+      e AS MATERIALIZED (SELECT d.*, c.id FROM d JOIN c USING (n)),
+      eq AS (SELECT e.rn, list(o.rn) AS equal FROM e JOIN e o ON o.id = e.id AND o.rn < e.rn GROUP BY 1),
+      nr AS (SELECT e.rn, list(o.rn) AS near FROM e JOIN p ON p.x = e.id JOIN e o ON o.id = p.y AND o.rn < e.rn WHERE o.included AND e.included GROUP BY 1),
+      q AS MATERIALIZED (SELECT e.rn, coalesce(equal, []) AS equal, coalesce(near, []) AS near FROM e LEFT JOIN eq USING (rn) LEFT JOIN nr USING (rn)),
+      step AS (SELECT 0 AS rn, []::INT[] AS leaders, 0 AS chosen
+        UNION ALL SELECT rn, CASE WHEN chosen = rn THEN list_append(leaders, rn) ELSE leaders END, chosen FROM (SELECT q.rn, step.leaders, coalesce(list_min(list_intersect(q.equal, step.leaders)), list_min(list_intersect(q.near, step.leaders)), q.rn) AS chosen FROM step JOIN q ON q.rn = step.rn + 1))
+      SELECT d.rid AS record_id, l.rid AS dedup_cluster FROM step JOIN d USING (rn) JOIN d l ON l.rn = step.chosen"""}
+
+
 def small_sql(documents: str) -> dict[str, str]:
     github = "'https://github\\.com/[A-Za-z0-9][A-Za-z0-9-]{0,38}/[A-Za-z0-9][A-Za-z0-9._-]{0,99}'"
     addressed = lambda c: f"(regexp_full_match({c}, {github}) AND NOT suffix({c}, '.git'))"

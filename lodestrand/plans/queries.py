@@ -50,12 +50,13 @@ def corpus_overview(spark, sf_dir):
 
 
 def corpus_files(spark, sf_dir):
-    """The documents as files of their repositories."""
-    d = documents(spark, sf_dir).where("repository_id is not null and relative_path is not null")
-    return d.select(
-        "doc_id", F.lower(F.trim("repository_id")).alias("repository_id"), F.concat(F.lit("https://github.com/corpus/"), F.lower(F.trim("repository_id"))).alias("source_uri"), F.lit("fixture").alias("commit_sha"),
-        F.lit("2024-01-01T00:00:00Z").alias("retrieved_at"), "relative_path", "text",
-    )
+    """The documents as files of their repositories, to each of which a licence is added: of most a known one."""
+    d = documents(spark, sf_dir).where("repository_id is not null and relative_path is not null").select(F.lower(F.trim("repository_id")).alias("repository_id"), "relative_path", "text")
+    known = F.substring(F.sha2("repository_id", 256), 1, 1) > "2"
+    licences = d.select("repository_id").distinct().select("repository_id", F.lit("LICENSE").alias("relative_path"), F.when(known, "Permission is hereby granted, free of charge, to any person").otherwise("All rights reserved.").alias("text"))
+    return d.unionByName(licences).select(
+        "repository_id", F.concat(F.lit("https://github.com/corpus/"), "repository_id").alias("source_uri"), F.lit("fixture").alias("commit_sha"), F.lit("2024-01-01T00:00:00Z").alias("retrieved_at"), "relative_path", "text"
+    )
 
 
 @query
