@@ -4,8 +4,8 @@ Method: a generalised suffix automaton over the words of all normalised task pas
 tasks are a table of fixed size; its bytes are checked before), and each document's words stream through
 it, which gives the longest match that ends at every word. A passage's matches of at least min_run words that
 can't be grown further in that passage are its runs, also where a match with another passage goes on. A document
-leaks a passage wherever, in one stretch of the document, a common subsequence of the passage and of the words that
-lie in its runs covers `coverage` of the passage (all of a passage under `whole` words, of which less says nothing).
+leaks a passage wherever, in one stretch of the document, a common subsequence with the passage, in which every word
+stands where a run has it, covers `coverage` of the passage (all of a passage under `whole` words, of which less says nothing).
 Inserted comments and renamed identifiers only break runs, they don't end a stretch, and no number of runs does.
 
 Words are taken after the one character form and without escapes, comment marks or quotes, in which a
@@ -140,38 +140,58 @@ class Automaton:
             n = self.length[q]
 
 
-def covered_words(words: list[int], passage: dict[int, int], size: int) -> list[int]:
-    """The length of the longest common subsequence of each beginning of `words` with a passage, bit-parallel over the
-    passage: `passage` has the places of each of its words as bits."""
+def covered_words(masks: list[int], size: int) -> list[int]:
+    """The length of the longest common subsequence of each beginning of a stretch with a passage of `size` words,
+    bit-parallel over the passage: a word's mask has the places of the passage that it may be matched with."""
     full = (1 << size) - 1
     v, out = full, []
-    for w in words:
-        u = v & passage[w]
+    for m in masks:
+        u = v & m
         if u:
             v = ((v + u) | (v - u)) & full
         out.append(size - v.bit_count())
     return out
 
 
-def stretches(spots: list[int], words: list[int], passage: list[int], need: int, room: int) -> list[tuple[int, int, int]]:
+def aligned(spots: list[int], words: list[int], passage: list[int], min_run: int) -> list[int]:
+    """Of each word at `spots` the places of the passage with which it lies in a run of at least min_run equal words."""
+    places: dict[int, int] = defaultdict(int)
+    for k, w in enumerate(passage):
+        places[w] |= 1 << k
+    same = {i: places.get(words[i], 0) for i in spots}
+    ends = {}
+    for i in spots:
+        m = same[i]
+        for k in range(1, min_run):
+            m &= same.get(i - k, 0) << k
+        ends[i] = m
+    out = []
+    for i in spots:
+        m = 0
+        for k in range(min_run):
+            m |= ends.get(i + k, 0) >> k
+        out.append(m)
+    return out
+
+
+def mirrored(mask: int, size: int) -> int:
+    return int(format(mask, f"0{size}b")[::-1], 2)
+
+
+def stretches(spots: list[int], masks: list[int], size: int, need: int, room: int) -> list[tuple[int, int, int]]:
     """(words covered, first, end) of the stretches of at most `room` words whose words at `spots` (ascending) cover at least
-    `need` of the passage in order; they don't overlap. A window that covers too little rules out the next ones
+    `need` of the passage's in order; they don't overlap. A window that covers too little rules out the next ones
     up to the one with as many further words as it lacks, so few are looked at."""
-    size, out, i, m = len(passage), [], 0, len(spots)
-    ahead: dict[int, int] = defaultdict(int)
-    back: dict[int, int] = defaultdict(int)
-    for k, w in enumerate(passage):
-        ahead[w] |= 1 << k
-        back[w] |= 1 << (size - 1 - k)
+    out, i, m = [], 0, len(spots)
     while i + need <= m:
         j = bisect_left(spots, spots[i] + room)
         lacks = need - (j - i)
         if lacks <= 0:
-            covers = covered_words([words[x] for x in spots[i:j]], ahead, size)
+            covers = covered_words(masks[i:j], size)
             if covers[-1] >= need:
                 end = bisect_left(covers, covers[-1])
                 # the same from its end backwards: the latest word from which as many are covered
-                begin = bisect_left(covered_words([words[x] for x in reversed(spots[i : i + end + 1])], back, size), covers[-1])
+                begin = bisect_left(covered_words([mirrored(x, size) for x in reversed(masks[i : i + end + 1])], size), covers[-1])
                 out.append((covers[-1], spots[i + end - begin], spots[i + end] + 1))
                 i += end + 1
                 continue
@@ -183,7 +203,7 @@ def stretches(spots: list[int], words: list[int], passage: list[int], need: int,
 
 
 def leaked_stretches(
-    runs: list[tuple[int, int, int]], places: list[list[tuple[int, int]]], sequences: list[list[int]], needs: list[int], words: list[int], stretch: float, wanted: set[int]
+    runs: list[tuple[int, int, int]], places: list[list[tuple[int, int]]], sequences: list[list[int]], needs: list[int], words: list[int], stretch: float, min_run: int, wanted: set[int]
 ) -> list[tuple[int, int, int, int]]:
     """(passage, words covered, first word, end) of the stretches in which the document leaks a wanted passage."""
     inside: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -198,7 +218,9 @@ def leaked_stretches(
             spots += range(max(d, at), e)
             at = max(at, e)
         sequence = sequences[number]
-        out += [(number, *x) for x in stretches(spots, words, sequence, needs[number], int(stretch * len(sequence)) + 40)]
+        if len(spots) >= needs[number]:
+            masks = aligned(spots, words, sequence, min_run)
+            out += [(number, *x) for x in stretches(spots, masks, len(sequence), needs[number], int(stretch * len(sequence)) + 40)]
     return out
 
 
@@ -248,7 +270,7 @@ class Scanner:
         if not len(wanted):
             return []
         known = a.tolist()
-        found = leaked_stretches(self.automaton.runs(known, self.min_run), self.automaton.places, self.sequences, self.needs, known, self.stretch, set(wanted.tolist()))
+        found = leaked_stretches(self.automaton.runs(known, self.min_run), self.automaton.places, self.sequences, self.needs, known, self.stretch, self.min_run, set(wanted.tolist()))
         return [(*self.names[k], c, self.sizes[k], f, e) for k, c, f, e in found]
 
 

@@ -399,7 +399,7 @@ def test_stretches_equal_plain_search():
         passage = [r.randint(0, 5) for _ in range(size)]
         words = [r.randint(0, 7) for _ in range(r.randint(0, 60))]
         spots, need, room = [i for i, w in enumerate(words) if w in passage], r.randint(2, size), r.randint(5, 30)
-        found = leakage.stretches(spots, words, passage, need, room)
+        found = leakage.stretches(spots, leakage.aligned(spots, words, passage, 1), size, need, room)
 
         def most(a, b):
             row = [0] * (size + 1)
