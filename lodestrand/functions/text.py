@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 IDENTIFIER = r"[A-Za-z_$][\p{L}\p{N}_$]*"
+TOKEN = rf"{IDENTIFIER}|[^{SPACE[1:]}"
 COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
 
 
@@ -125,7 +126,7 @@ def shingles(text: Column, width: int = 5, fast: bool = False) -> Column:
     """Distinct hashes of each `width` tokens of the normalised text; of all tokens if they are fewer.
 
     fast: 64-bit xxhash instead of 16 hex digits of sha256; same sets up to the names of their members."""
-    t = F.regexp_extract_all(normalized(text), F.lit(r"[A-Za-z_$][\p{L}\p{N}_$]*|[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"), F.lit(0))
+    t = F.regexp_extract_all(normalized(text), F.lit(TOKEN), F.lit(0))
     name = (lambda x: F.xxhash64(x)) if fast else (lambda x: F.substring(F.sha2(x, 256), 1, 16))
     all_starts = lambda v: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(v) - width + 1))
     return let(t, lambda v: F.array_distinct(F.transform(all_starts(v), lambda i: name(F.array_join(F.slice(v, i, width), "\u001f")))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import shingles
+from lodestrand.operators import segments
 from lodestrand.session import cut
 
 
@@ -19,14 +20,29 @@ def mark_duplicates(records: DataFrame, key: str | list[str] = "normalized_sha25
 
 
 def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """sets: id, items (distinct hashes). Pairs a < b with Jaccard >= threshold, exact: a, b, common, jaccard.
+    """sets: id (unique), items (distinct hashes). Pairs a < b with Jaccard >= threshold, exact: a, b, common, jaccard.
 
-    Prefix filter: of n items, ordered rarest first, only n - ceil(t n) + 1 are joined, with the length filter on
-    both sides; the sets themselves join only the surviving pairs. Items of one set alone, the first in that order, are
-    never joined nor sorted: a set of which m items occur elsewhere joins m - ceil(t n) + 1 of those, or none at all.
-    Threshold 0 joins all items."""
+    From 0.8 on by sketches of the sets (operators/segments.py), below by rare items. Threshold 0 joins all items. The sets
+    are computed twice and never stored."""
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold must lie in [0, 1]")
+    if threshold < segments.LEAST:
+        return rare_item_pairs(sets, threshold)
+    return sketched_pairs(cut(segments.sketches(sets, threshold)), sets, threshold)
+
+
+def sketched_pairs(stored: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs among the ids of stored (segments.sketches, cut) whose sets are those of rows: id, and items or text."""
+    name = stored.where("n > 0").select("number", "id")
+    near = segments.candidates(stored, threshold).join(name.toDF("a", "id_a"), "a").join(name.toDF("b", "id_b"), "b").where("id_a <> id_b")
+    near = cut(near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
+    return segments.counted(near, rows).where((F.col("common") > 0) & (F.col("jaccard") >= threshold))
+
+
+def rare_item_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Prefix filter: of n items, ordered rarest first, only n - ceil(t n) + 1 are joined, with the length filter on
+    both sides; the sets themselves join only the surviving pairs. Items of one set alone, the first in that order, are
+    never joined nor sorted: a set of which m items occur elsewhere joins m - ceil(t n) + 1 of those, or none at all."""
     sized = cut(sets.withColumn("n", F.size("items")).where("n > 0"))
     exploded = sized.select("id", "n", F.explode("items").alias("item"))
     shared = exploded.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")

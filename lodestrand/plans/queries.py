@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import model, paths, secrets
 from lodestrand.functions import text as T
-from lodestrand.operators import checks, contamination, dedup, governance, reports, sequences, splits, tokenizers
+from lodestrand.operators import checks, contamination, dedup, governance, reports, segments, sequences, splits, tokenizers
 from lodestrand.plans import corpus
 from lodestrand.session import cut, spread
 from lodestrand.sources import sinks
@@ -273,9 +273,10 @@ def shingle_stats(spark, sf_dir):
 @query
 def near_dup_pairs(spark, sf_dir):
     """Between classes of equal normalised texts; a class is named by its smallest document."""
-    rows = texts(spark, sf_dir).select("doc_id", T.normalized(F.col("text")).alias("text"))
-    classes = cut(rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("id"), F.first("text").alias("text")))
-    return dedup.similar_pairs(classes.select("id", T.shingles(F.col("text"), fast=True).alias("items"))).select("a", "b", "common")
+    rows = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), T.normalized(F.col("text")).alias("text"))
+    stored = cut(segments.sketches(rows.withColumn("h", F.sha2("text", 256)), 0.85, "h"))
+    classes = stored.groupBy("h").agg(F.min("id").alias("id")).select("id")
+    return dedup.sketched_pairs(stored.drop("h").join(classes, "id", "left_semi"), rows, 0.85).select("a", "b", "common")
 
 
 @query
