@@ -31,10 +31,11 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     return sketched_pairs(cut(segments.sketches(sets, threshold)), sets, threshold)
 
 
-def sketched_pairs(stored: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs among the ids of stored (segments.sketches, cut) whose sets are those of rows: id, and items or text."""
+def sketched_pairs(stored: DataFrame, rows: DataFrame, threshold: float, only: DataFrame | None = None) -> DataFrame:
+    """The pairs among the ids of stored (segments.sketches, cut) whose sets are those of rows: id, and items or text. only: the
+    numbers of the stored rows that take part."""
     name = stored.where("n > 0").select("number", "id")
-    near = segments.candidates(stored, threshold).join(name.toDF("a", "id_a"), "a").join(name.toDF("b", "id_b"), "b").where("id_a <> id_b")
+    near = segments.candidates(stored, threshold, only).join(name.toDF("a", "id_a"), "a").join(name.toDF("b", "id_b"), "b").where("id_a <> id_b")
     near = cut(near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
     return segments.counted(near, rows).where((F.col("common") > 0) & (F.col("jaccard") >= threshold))
 
@@ -68,14 +69,30 @@ def leader_clusters(records: DataFrame, threshold: float = 0.85, max_rounds: int
     graph, which rounds of joins find: a record all of whose earlier neighbours follow leads; one with an
     earlier leader follows. Equal normalised texts are one node per (hash, included); only included nodes have
     shingles. Record ids are hashes, so a few rounds settle; each is cut by a checkpoint. No text is written: texts are
-    read once more for the shingles of the nodes. Rows that stay undecided after max_rounds are an error."""
-    rows = cut(records.select("record_id", "normalized_sha256", F.coalesce("included", F.lit(True)).alias("included")))
-    nodes = cut(rows.groupBy("normalized_sha256", "included").agg(F.min("record_id").alias("id")))
-    kept = (records if texts is None else texts).select("record_id", "text").join(nodes.where("included").select(F.col("id").alias("record_id")), "record_id", "left_semi").dropDuplicates(["record_id"])
-    pairs = cut(similar_pairs(fingerprints(kept), threshold).select("a", "b"))
+    read once more for the shingles of the pairs that sketches leave. Rows that stay undecided after max_rounds are an error."""
+    included = F.coalesce("included", F.lit(True)).alias("included")
+    if threshold < segments.LEAST:
+        rows = cut(records.select("record_id", "normalized_sha256", included))
+        nodes = cut(rows.groupBy("normalized_sha256", "included").agg(F.min("record_id").alias("id")))
+        kept = (records if texts is None else texts).select("record_id", "text").join(nodes.where("included").select(F.col("id").alias("record_id")), "record_id", "left_semi").dropDuplicates(["record_id"])
+        pairs = cut(similar_pairs(fingerprints(kept), threshold).select("a", "b"))
+    else:
+        sets = segments.text_rows(records if texts is None else texts)
+        if texts is None:
+            stored = cut(segments.sketches(segments.text_rows(records.withColumn("included", included), "text", "record_id", "normalized_sha256", "included"), threshold, "normalized_sha256", "included"))
+            rows = stored.select(F.col("id").alias("record_id"), "normalized_sha256", "included")
+        else:
+            stored = cut(segments.sketches(sets, threshold))
+            rows = cut(records.select("record_id", "normalized_sha256", included))
+        nodes = cut(rows.groupBy("normalized_sha256", "included").agg(F.min("record_id").alias("id")))
+        only = stored.select("id", "number").join(nodes.where("included"), "id").groupBy("id").agg(F.min("number").alias("number"))
+        pairs = cut(sketched_pairs(stored, sets, threshold, only).select("a", "b"))
+        del stored
     twins = nodes.groupBy("normalized_sha256").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
     edges = cut(pairs.unionByName(twins).distinct())
-    state = cut(nodes.select("id").withColumn("leads", F.lit(None).cast("boolean")))
+    # a node without an edge leads
+    linked = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    state = cut(linked.withColumn("leads", F.lit(None).cast("boolean")))
     for _ in range(max_rounds):
         earlier = edges.join(state.select(F.col("id").alias("a"), F.col("leads").alias("a_leads")), "a")
         seen = earlier.groupBy("b").agg(F.max(F.coalesce("a_leads", F.lit(False))).alias("any_leader"), F.max(F.col("a_leads").isNull()).alias("any_open")).withColumnRenamed("b", "id")
@@ -85,7 +102,7 @@ def leader_clusters(records: DataFrame, threshold: float = 0.85, max_rounds: int
             break
     else:
         raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
-    leaders = state.where("leads").select(F.col("id").alias("leader"))
+    leaders = nodes.join(state.where("not leads"), "id", "left_anti").select(F.col("id").alias("leader"))
     by_hash = nodes.join(leaders, F.col("id") == F.col("leader")).groupBy("normalized_sha256").agg(F.min("id").alias("hash_leader"))
     near = pairs.join(leaders, F.col("a") == F.col("leader")).groupBy("b").agg(F.min("a").alias("near_leader"))
     of_node = nodes.select("id", "normalized_sha256", "included").join(near, F.col("id") == F.col("b"), "left").select("normalized_sha256", "included", "near_leader")

@@ -275,8 +275,8 @@ def near_dup_pairs(spark, sf_dir):
     """Between classes of equal normalised texts; a class is named by its smallest document."""
     rows = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), T.normalized(F.col("text")).alias("text"))
     stored = cut(segments.sketches(rows.withColumn("h", F.sha2("text", 256)), 0.85, "h"))
-    classes = stored.groupBy("h").agg(F.min("id").alias("id")).select("id")
-    return dedup.sketched_pairs(stored.drop("h").join(classes, "id", "left_semi"), rows, 0.85).select("a", "b", "common")
+    classes = stored.groupBy("h").agg(F.min_by("number", "id").alias("number"))
+    return dedup.sketched_pairs(stored, rows, 0.85, classes).select("a", "b", "common")
 
 
 @query

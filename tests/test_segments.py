@@ -67,3 +67,37 @@ def test_words_are_cut_as_by_the_jvm(spark):
     rows = segments.text_rows(df, id_col="id")
     x = {r.id: set(np.frombuffer(r.x, np.uint64)) for r in segments.sets_of(rows).collect()}
     assert {(p.a, p.b, p.common) for p in pairs} == {(a, b, len(x[a] & x[b])) for a in x for b in x if a < b and x[a] & x[b]}
+
+
+def test_leader_clusters_at_the_default_threshold_equal_a_sequential_scan(spark):
+    r = random.Random(8)
+    rows, plain = [], []
+    for base in range(6):
+        words = [f"w{r.randrange(50)}" for _ in range(60)]
+        for k in range(14):
+            own = list(words)
+            if k % 3:
+                at = r.randrange(60)
+                own[at : at + k % 3] = [f"x{base}_{k}"] * r.randint(0, 2)
+            rid, included, text = f"{r.random():.12f}", r.random() < 0.8, " ".join(own)
+            rows.append((rid, text, included, text))
+            plain.append((rid, text, included, {tuple(own[i : i + 5]) for i in range(len(own) - 4)}))
+    leaders, want = [], {}
+    for rid, norm, included, items in sorted(plain):
+        leader = next((x for x in leaders if x[1] == norm), None) or next((x for x in leaders if included and x[2] and jaccard(items, x[3]) >= 0.85), None)
+        if leader is None:
+            leader = (rid, norm, included, items)
+            leaders.append(leader)
+        want[rid] = leader[0]
+    assert 6 < len(set(want.values())) < 60
+    df = spark.createDataFrame(rows, "record_id string, normalized_sha256 string, included boolean, text string").repartition(3)
+    stored = []
+    cut = segments.sets_of
+    try:
+        segments.sets_of = lambda rows: stored.append(rows) or cut(rows)
+        assert {x.record_id: x.dedup_cluster for x in dedup.leader_clusters(df).collect()} == want
+    finally:
+        segments.sets_of = cut
+    assert stored  # only what sketches leave gets its shingles
+    texts = df.select("record_id", "text").unionByName(df.select("record_id", "text"))
+    assert {x.record_id: x.dedup_cluster for x in dedup.leader_clusters(df.drop("text"), texts=texts).collect()} == want
