@@ -44,7 +44,7 @@ def file_records(
     found = detector(path, body)
     quality = T.quality_reasons(body)
     licences = repository_license(rows.select("repository_id", "relative_path", F.col("body").alias("text")), accepted).select("repository_id", F.col("spdx").alias("license_spdx"), F.col("status").alias("license_status"))
-    rows = rows.join(licences, "repository_id", "left").withColumns({"found": found, "generated": generated, "quality": quality, "quality_metrics": T.quality_metrics(body), "language_reason": language})
+    rows = rows.withColumns({"found": found, "generated": generated, "quality": quality, "quality_metrics": T.quality_metrics(body), "language_reason": language})
     none = F.array().cast("array<string>")
     flags = T.reasons(
         (~paths.in_scope(path, scope), "outside-approved-scope"), (F.coalesce("symlink", F.lit(False)), "symlink"), (F.col("oversized") & ~F.coalesce("symlink", F.lit(False)), "oversized"),
@@ -52,19 +52,22 @@ def file_records(
     )
     why = T.all_reasons(
         paths.path_reasons(path), flags, F.when(~F.col("language_reason").isin("typescript", "metadata"), F.array("language_reason")).otherwise(none), F.col("generated"), paths.harness_reasons(path, body),
-        F.transform("found", lambda c: F.concat(F.lit("secret:"), c)), F.col("quality"), F.when(F.col("license_status") != "accepted", F.array(F.concat(F.lit("license:"), F.col("license_status")))).otherwise(none),
+        F.transform("found", lambda c: F.concat(F.lit("secret:"), c)), F.col("quality"),
     )
     suffix = F.lower(F.regexp_extract(paths.name_of(path), r".(\.[^.]+)$", 1))
     contextual = paths.name_of(path).isin("package.json", "tsconfig.json")
-    rows = rows.withColumn("exclusion_reasons", why)
-    return rows.select(
-        "record_id", "repository_id", "source_uri", "commit_sha", "retrieved_at", "license_spdx", "license_status", "relative_path",
+    rows = rows.withColumn("exclusion_reasons", why).select(
+        "record_id", "repository_id", "source_uri", "commit_sha", "retrieved_at", "relative_path",
         F.when(suffix.isin(".ts", ".tsx"), "typescript").when(contextual, "metadata").otherwise("other").alias("language"), paths.source_type(path).alias("source_type"), "size_bytes",
         F.when(body == "", 0).otherwise(F.size(T.lines(body))).alias("line_count"), "content_sha256", F.when(F.array_contains("exclusion_reasons", "oversized"), "prefix").otherwise("full").alias("content_hash_scope"),
         T.sha256(T.normalized(body)).alias("normalized_sha256"), F.round(T.quality_score(F.size("quality"), F.col("quality_metrics.repetition_ratio")), 6).alias("quality_score"), "quality_metrics",
         F.when(F.size("found") > 0, "rejected").otherwise("clean").alias("secret_scan_status"), F.when(F.size("generated") > 0, "generated").otherwise("human").alias("generated_status"),
-        F.lit("").alias("dedup_cluster"), F.lit("excluded").alias("split"), F.lit(version).alias("pipeline_version"), (F.size("exclusion_reasons") == 0).alias("included"), "exclusion_reasons",
+        F.lit("").alias("dedup_cluster"), F.lit("excluded").alias("split"), F.lit(version).alias("pipeline_version"), "exclusion_reasons",
     )
+    # joined last, so that records are shuffled and no texts
+    licence = F.when(F.col("license_status") != "accepted", F.array(F.concat(F.lit("license:"), F.col("license_status")))).otherwise(none)
+    rows = rows.join(licences, "repository_id", "left").withColumn("exclusion_reasons", T.all_reasons(F.col("exclusion_reasons"), licence))
+    return rows.withColumn("included", F.size("exclusion_reasons") == 0).select(*schemas.FILE_RECORD.fieldNames())
 
 
 def without_duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -78,16 +81,20 @@ def build(files: DataFrame, threshold: float = 0.85, seed: int = 42, train: floa
     """Records (schemas.FILE_RECORD) with duplicates marked, clusters and splits. Checkpoints hold records and pairs, never
     texts: those are read again for the shingles, and by whoever writes the included ones (included_texts)."""
     records = cut(file_records(files, max_file_bytes, **options).dropDuplicates(["record_id"]))
+    # what is decided on: the other fields are joined once, at the end
+    slim = records.select("record_id", "repository_id", "normalized_sha256", "included", F.array().cast("array<string>").alias("exclusion_reasons"))
     # duplicates within a repository lose their shingles before clusters are made, those across repositories don't
-    marked = cut(without_duplicates(records, ["repository_id", "normalized_sha256"]))
+    marked = cut(without_duplicates(slim, ["repository_id", "normalized_sha256"]))
     texts = with_text(files, max_file_bytes).select("record_id", F.col("body").alias("text"))
     clusters = cut(dedup.leader_clusters(marked, threshold, texts=texts).select("record_id", "dedup_cluster"))
-    clustered = cut(without_duplicates(marked.drop("dedup_cluster").join(clusters, "record_id"), ["normalized_sha256"]))
+    clustered = cut(without_duplicates(marked.join(clusters, "record_id"), ["normalized_sha256"]))
     if not by_family:
-        out = splits.cluster_split(clustered, seed, train, validation)
+        placed = splits.cluster_split(clustered, seed, train, validation)
     else:
         families = splits.family_split(clustered, seed, train, validation).select("repository_id", F.col("split").alias("s"))
-        out = clustered.drop("split").join(families, "repository_id", "left").withColumn("split", F.when(F.col("included"), F.col("s")).otherwise("excluded")).drop("s")
+        placed = clustered.join(families, "repository_id", "left").withColumn("split", F.when(F.col("included"), F.col("s")).otherwise("excluded")).drop("s")
+    placed = placed.select("record_id", "dedup_cluster", "included", "split", F.col("exclusion_reasons").alias("more"))
+    out = records.drop("dedup_cluster", "included", "split").join(placed, "record_id").withColumn("exclusion_reasons", T.all_reasons(F.col("exclusion_reasons"), F.col("more")))
     return out.select(*schemas.FILE_RECORD.fieldNames())
 
 
